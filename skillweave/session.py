@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,7 @@ DEFAULTS = {
 }
 
 _folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "skillweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,6 +39,22 @@ def build_session(app: str = "skillweave", master: str | None = None, **conf: st
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="skillweave-ship-")  # the driver serves the file from here while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, "skillweave.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(here.rglob("*.py")):
+            out.write(path, path.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The run's own folder below spark.checkpoint.dir, emptied when the driver ends.
 
