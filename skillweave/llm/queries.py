@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillweave.llm import leakage, neardup, topn
+from skillweave.llm import leakage, mapping, neardup, pairs, topn
 from skillweave.plans.tables import table
 
 
@@ -19,6 +19,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(distinct, group="uoc_code", order=order, n=3, id_col="id").select("uoc_code", F.col("id").alias("link_id"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The occupation that each typed title means, '' where the list holds none."""
+    typed, codes = table(spark, d, "qual_taxonomy_links"), table(spark, d, "anzsco_codes")
+    found = mapping.map_values(typed, codes, row_id="id", value="occupation_titles", code="anzsco_code", title="anzsco_title")
+    return found.select(F.col("row_id").alias("link_id"), F.col("code").alias("anzsco_code"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Skill records whose statement is no proper answer to its prompt."""
+    return pairs.broken_pairs(table(spark, d, "rsd_skill_records"), record_id="id", prompt="bart_prompt", response="skill_statement")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of skill records with at least 80 % of their words in common."""
     records = table(spark, d, "rsd_skill_records")
@@ -30,7 +42,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
 
 ORACLE = {
     "p1_found": """
