@@ -9,7 +9,8 @@ a Jaccard similarity of at least t differ in at most D = (1-t)/(1+t) * (a+b) wor
 2. Pivot distance table. The Hamming distances of every record to PIVOTS reference fingerprints are computed once. By
    the triangle inequality |d(x,p) - d(y,p)| <= d(x,y), so a pair whose coordinates differ by more than its D anywhere
    is discarded. No pair is lost.
-3. Survivors are verified on their words.
+3. Survivors are verified: first on 64-bit foldings of their fingerprints (the parity of the words that fall on each
+   bit; folding never adds a difference), where the pair was found, then on their words.
 
 A block of over `hot` records (boilerplate that many records share) is divided again: its records are dealt to
 segments of another deal of the words, as a pair within D must agree in one of those too.
@@ -27,21 +28,21 @@ from pyspark.sql import functions as F
 
 from skillweave.session import materialise
 
-PIVOTS = 12
-#: Records from which the reference fingerprints are drawn: those with the smallest hashes, a bounded sample.
+#: Reference fingerprints besides the empty set, drawn as the records with the smallest hashes (a bounded sample).
+PIVOTS = 7
 THRESHOLD = (4, 5)
 #: Words in at least this share of the records are weighed; there are at most (mean words a record) / share of them.
 FREQUENT = 0.001
 HOT = 3_000
 #: Pairs compared at once.
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 
 
 def word_set(*columns: Column) -> Column:
     """Sorted distinct word hashes of several text fields; null is empty. Words are lower-cased runs of letters."""
     text = F.lower(F.concat_ws(" ", *columns))
     words = F.array_remove(F.split(F.regexp_replace(text, r"[^\p{L}]+", " "), " "), "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -109,11 +110,24 @@ class Scheme:
                 out[:, 1 + k] = sizes + self.pivot_size[k] - 2 * both
         return out
 
-    def signatures(self, words: np.ndarray, record: np.ndarray, sizes: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(record, signature): the segments in which a partner may agree, for the class of a record and the next."""
+    @staticmethod
+    def folding(words: np.ndarray, record: np.ndarray, count: int) -> np.ndarray:
+        """64-bit parity folding of every fingerprint; two differ in no more bits than the fingerprints in words."""
+        bits = np.uint64(1) << (_mix(words, 31) % np.uint64(64))
+        out = np.zeros(count, dtype=np.uint64)
+        starts = np.flatnonzero(np.append(True, record[1:] != record[:-1])) if len(record) else np.zeros(0, np.int64)
+        if len(starts):
+            out[record[starts]] = np.bitwise_xor.reduceat(bits, starts)
+        return out
+
+    def signatures(self, words: np.ndarray, record: np.ndarray, sizes: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(record, signature, lower): the segments in which a partner may agree, for a record's class and the next.
+
+        `lower` marks a record below the class; two such records meet in their own class, so not here.
+        """
         edges = self.edges()
         own = np.searchsorted(edges, sizes, side="right") - 1
-        rows, sigs = [], []
+        rows, sigs, lower = [], [], []
         for c in np.unique(np.concatenate([own, own + 1])).tolist():
             top = int(edges[c + 1]) - 1  # the largest record of class c, the larger of a pair
             n = int(self.distance(2 * top)) + 1
@@ -136,7 +150,8 @@ class Scheme:
             wanted = np.tile(np.arange(n), len(mine)) < np.repeat(emit, n)
             rows.append(np.repeat(mine, n)[wanted])
             sigs.append(sig[wanted])
-        return np.concatenate(rows), np.concatenate(sigs)
+            lower.append(own[rows[-1]] < c)
+        return np.concatenate(rows), np.concatenate(sigs), np.concatenate(lower)
 
 
 def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,126 +160,125 @@ def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, n
     return lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), sizes.astype(np.int64)
 
 
-def _packing(shared, parts: int):
-    """Records -> one row per target part: packed signatures, record keys and coordinates (a compact shuffle)."""
+class Block:
+    """Rows of blocks: record keys, foldings, distances to the pivots (the first is the size) and the `lower` marks."""
+
+    def __init__(self, sig: np.ndarray, key: np.ndarray, fold: np.ndarray, lower: np.ndarray, at: np.ndarray):
+        self.sig, self.key, self.fold, self.lower, self.at = sig, key, fold, lower, at
+
+    def take(self, rows: np.ndarray) -> Block:
+        return Block(self.sig[rows], self.key[rows], self.fold[rows], self.lower[rows], self.at[rows])
+
+    def packed(self) -> list[bytes]:
+        most = self.at.max(initial=0)
+        at = self.at.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.int32)
+        return [x.tobytes() for x in (self.sig, self.key, self.fold, self.lower, at)]
+
+    @staticmethod
+    def unpacked(rows: pd.DataFrame) -> Block:
+        join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[c]])
+        kinds = {1: np.uint8, 2: np.uint16, 4: np.int32}
+        width = PIVOTS + 1
+        at = [np.frombuffer(x, kinds[len(x) // (len(k) // 8 * width)]).reshape(-1, width).astype(np.int32) for x, k in zip(rows["at"], rows["key"], strict=True)]
+        return Block(join("sig", np.uint64), join("key", np.int64), join("fold", np.uint64), join("lower", np.bool_), np.concatenate(at))
+
+
+_PACKED = "part int, sig binary, key binary, fold binary, lower binary, at binary"
+
+
+def _rows_of(scheme: Scheme, keys: np.ndarray, lists: pa.Array, salt: int = 0) -> tuple[np.ndarray, Block]:
+    """(record, block row) of a batch of records."""
+    words, record, sizes = _flat(lists)
+    row, sig, lower = scheme.signatures(words, record, sizes, salt)
+    return row, Block(sig, keys[row], scheme.folding(words, record, len(sizes))[row], lower, scheme.coordinates(words, record, sizes)[row])
 
+
+def _emit(block: Block, parts: int) -> pa.RecordBatch:
+    """One row per target part, with all its block rows packed (a compact shuffle)."""
+    part = (block.sig % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((block.sig, part))
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    groups = np.split(order, cuts)
+    blobs = [block.take(g).packed() for g in groups]
+    return pa.RecordBatch.from_arrays([pa.array(part[[g[0] for g in groups]].astype(np.int32)), *[pa.array([x[i] for x in blobs], pa.binary()) for i in range(5)]], names=["part", "sig", "key", "fold", "lower", "at"])
+
+
+def _packing(shared, parts: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme: Scheme = shared.value
         for batch in batches:
             keys, first = np.unique(batch.column("key").to_numpy(), return_index=True)  # copies in a batch count once
-            if not len(keys):
-                continue
-            words, record, sizes = _flat(batch.column("words").take(pa.array(first)))
-            table = scheme.coordinates(words, record, sizes)
-            row, sig = scheme.signatures(words, record, sizes)
-            part = (sig % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((sig, part))
-            row, sig, part = row[order], sig[order], part[order]
-            most = table.max()
-            table = table.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.int32)
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            blobs = [(s.tobytes(), keys[r].tobytes(), table[r].tobytes()) for s, r in zip(np.split(sig // np.uint64(parts), cuts), np.split(row, cuts), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[np.concatenate([[0], cuts])].astype(np.int32)), *[pa.array([b[i] for b in blobs], pa.binary()) for i in range(3)]], names=["part", "sig", "key", "at"]
-            )
+            if len(keys):
+                yield _emit(_rows_of(shared.value, keys, batch.column("words").take(pa.array(first)))[1], parts)
 
     return pack
 
 
-def _survivors(keys: np.ndarray, at: np.ndarray, starts: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within blocks that no pivot discards; blocks are rows starts..starts+sizes."""
-    # Row i of a block is paired with all later rows of it; rows are taken in chunks of about _CHUNK pairs.
+def _survivors(block: Block, starts: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within blocks (rows starts..starts+sizes, `lower` rows last) that neither pivots nor foldings discard."""
+    # Row i of a block is paired with all later rows of it, unless it is lower; rows are taken in chunks of _CHUNK pairs.
     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     row = np.repeat(starts, sizes) + place
-    later = np.repeat(sizes, sizes) - place - 1
+    later = np.where(block.lower[row], 0, np.repeat(sizes, sizes) - place - 1)
     row, later = row[later > 0], later[later > 0]
     bounds = np.concatenate([[0], np.cumsum(later)])
+    columns = [np.ascontiguousarray(block.at[:, k]) for k in range(block.at.shape[1])]
     lo = 0
     while lo < len(row):
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + _CHUNK, side="right")) - 1)
         n = later[lo:hi]
-        a = np.repeat(row[lo:hi], n)
-        b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        ok = np.flatnonzero(np.abs(at[a, 0] - at[b, 0]) <= scheme.distance(at[a, 0] + at[b, 0]))
-        a, b = a[ok], b[ok]
-        most = scheme.distance(at[a, 0] + at[b, 0])
-        for k in range(1, at.shape[1]):
-            ok = np.flatnonzero(np.abs(at[a, k] - at[b, k]) <= most)
+        a = np.repeat(row[lo:hi].astype(np.int32), n)
+        b = np.arange(n.sum(), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n) + a + 1
+        most = scheme.distance(columns[0][a] + columns[0][b])
+        for column in columns:
+            ok = np.abs(column[a] - column[b]) <= most
             a, b, most = a[ok], b[ok], most[ok]
-        x, y = keys[a], keys[b]
-        differ = x != y
-        yield np.minimum(x, y)[differ], np.maximum(x, y)[differ]
+        ok = (np.bitwise_count(block.fold[a] ^ block.fold[b]) <= most) & (block.key[a] != block.key[b])
+        x, y = block.key[a[ok]], block.key[b[ok]]
+        yield np.minimum(x, y), np.maximum(x, y)
         lo = hi
 
 
 def _comparing(shared, hot: int):
+    """Blocks of a part -> pairs; members of oversized blocks leave as (record, block), to be divided again."""
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        scheme: Scheme = shared.value
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["sig"]])
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["key"]])
-        width = 1 + len(scheme.pivot_size)
-        kinds = {1: np.uint8, 2: np.uint16, 4: np.int32}
-        at = np.concatenate([np.frombuffer(x, kinds[len(x) * 8 // (len(k) * width)]).astype(np.int32).reshape(-1, width) for x, k in zip(pdf["at"], pdf["key"], strict=True)])
-        order = np.lexsort((keys, sig))
-        sig, keys, at = sig[order], keys[order], at[order]
-        fresh = np.ones(len(sig), dtype=bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (keys[1:] != keys[:-1])
-        sig, keys, at = sig[fresh], keys[fresh], at[fresh]
-        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        sizes = np.diff(np.append(starts, len(sig)))
-        small = (sizes > 1) & (sizes <= hot)
-        found = list(_survivors(keys, at, starts[small], sizes[small], scheme)) if small.any() else []
+        block = Block.unpacked(pdf)
+        block = block.take(np.lexsort((block.key, block.lower, block.sig)))
+        fresh = np.append(True, (block.sig[1:] != block.sig[:-1]) | (block.key[1:] != block.key[:-1]))
+        block = block.take(np.flatnonzero(fresh))
+        starts = np.flatnonzero(np.append(True, block.sig[1:] != block.sig[:-1]))
+        sizes = np.diff(np.append(starts, len(block.sig)))
+        fits = (sizes > 1) & ((sizes <= hot) | (hot < 0))
+        found = list(_survivors(block, starts[fits], sizes[fits], shared.value)) if fits.any() else []
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        big = sizes > hot
-        rows = np.repeat(starts[big], sizes[big]) + np.arange(sizes[big].sum()) - np.repeat(np.cumsum(sizes[big]) - sizes[big], sizes[big])
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "hot": False})
-        # Members of oversized blocks leave as (record, block); they are divided again below.
-        more = pd.DataFrame({"a": keys[rows], "b": sig[rows].view(np.int64), "hot": True})
-        return pd.concat([out, more], ignore_index=True)
+        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+        over = (sizes > hot) & (hot >= 0)
+        rows = np.repeat(starts[over] - np.cumsum(sizes[over]) + sizes[over], sizes[over]) + np.arange(sizes[over].sum())
+        return pd.DataFrame({"a": np.concatenate([pairs[:, 0], block.key[rows]]), "b": np.concatenate([pairs[:, 1], block.sig[rows].view(np.int64)]), "hot": np.repeat([False, True], [len(pairs), len(rows)])})
 
     return compare
 
 
-def _dividing(shared, salt: int):
-    """Records of oversized blocks -> (block within the block, record, coordinates)."""
+def _dividing(shared, salt: int, parts: int):
+    """Members of oversized blocks, dealt to segments again: the blocks within the block."""
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme: Scheme = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words, record, sizes = _flat(batch.column("words"))
-            row, sig = scheme.signatures(words, record, sizes, salt)
-            block = _mix(sig ^ _mix(batch.column("block").to_numpy().view(np.uint64)[row], 17), 23).view(np.int64)
-            table = scheme.coordinates(words, record, sizes)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(table[row].ravel(), pa.int32()), table.shape[1]).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(batch.column("key").to_numpy()[row]), lists], names=["block", "key", "at"])
+            if batch.num_rows:
+                row, block = _rows_of(shared.value, batch.column("key").to_numpy(), batch.column("words"), salt)
+                block.sig = _mix(block.sig ^ _mix(batch.column("block").to_numpy().view(np.uint64)[row], 17), 23)
+                yield _emit(block, parts)
 
     return divide
 
 
-def _blockwise(shared):
-    """Pairs of one (divided) block, compared in chunks."""
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        scheme: Scheme = shared.value
-        keys = pdf["key"].to_numpy()
-        order = np.argsort(keys)
-        at = np.stack(pdf["at"].to_numpy()).astype(np.int32)[order]
-        found = list(_survivors(keys[order], at, np.array([0]), np.array([len(keys)]), scheme))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b})
-
-    return compare
-
-
 def learn_scheme(sets: DataFrame, t: tuple[int, int]) -> Scheme:
-    """Word shares over all records, and pivots from a bounded sample (the PIVOTS-1 sets with the smallest keys)."""
+    """Word shares over all records, and pivots from a bounded sample."""
     n = sets.count()
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= FREQUENT * n)
     frequent = [(r.w, r["count"] / n) for r in counts.collect()] if n else []
-    pivots = [list(r.words) for r in sets.orderBy(F.xxhash64("key"), "key").select("words").limit(PIVOTS - 1).collect()]
+    pivots = [list(r.words) for r in sets.orderBy(F.xxhash64("key"), "key").select("words").limit(PIVOTS).collect()]
+    pivots += [[]] * (PIVOTS - len(pivots))
     return Scheme(frequent, pivots, t)
 
 
@@ -279,14 +293,15 @@ def similar_sets(sets: DataFrame, t: tuple[int, int] = THRESHOLD, hot: int = HOT
     scheme = learn_scheme(sets, t)
     shared = spark.sparkContext.broadcast(scheme)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    packed = sets.select("key", "words").mapInArrow(_packing(shared, parts), "part int, sig binary, key binary, at binary")
-    first = materialise(packed.groupBy("part").applyInPandas(_comparing(shared, hot), "a bigint, b bigint, hot boolean"), "candidates")
+    packed = sets.select("key", "words").mapInArrow(_packing(shared, parts), _PACKED)
+    found = "a bigint, b bigint, hot boolean"
+    first = materialise(packed.groupBy("part").applyInPandas(_comparing(shared, hot), found), "candidates")
     pairs = first.where("not hot").select("a", "b")
     crowded = first.where("hot").select(F.col("a").alias("key"), F.col("b").alias("block"))
     if crowded.limit(1).count():
         words = sets.groupBy("key").agg(F.first("words").alias("words"))
-        divided = crowded.join(words, "key").select("key", "block", "words").mapInArrow(_dividing(shared, 1), "block bigint, key bigint, at array<int>")
-        pairs = pairs.unionByName(divided.groupBy("block").applyInPandas(_blockwise(shared), "a bigint, b bigint"))
+        divided = crowded.join(words, "key").select("key", "block", "words").mapInArrow(_dividing(shared, 1, parts), _PACKED)
+        pairs = pairs.unionByName(divided.groupBy("part").applyInPandas(_comparing(shared, -1), found).select("a", "b"))
     pairs = materialise(pairs.distinct(), "survivors")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     words = sets.join(needed, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
