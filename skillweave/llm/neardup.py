@@ -34,6 +34,8 @@ THRESHOLD = (4, 5)
 #: Words in at least this share of the records are weighed; there are at most (mean words a record) / share of them.
 FREQUENT = 0.001
 HOT = 3_000
+#: Records a part of the block shuffle.
+PART_RECORDS = 10_000
 #: Pairs compared at once.
 _CHUNK = 1_000_000
 
@@ -272,9 +274,8 @@ def _dividing(shared, salt: int, parts: int):
     return divide
 
 
-def learn_scheme(sets: DataFrame, t: tuple[int, int]) -> Scheme:
-    """Word shares over all records, and pivots from a bounded sample."""
-    n = sets.count()
+def learn_scheme(sets: DataFrame, t: tuple[int, int], n: int) -> Scheme:
+    """Word shares over all `n` records, and pivots from a bounded sample."""
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= FREQUENT * n)
     frequent = [(r.w, r["count"] / n) for r in counts.collect()] if n else []
     pivots = [list(r.words) for r in sets.orderBy(F.xxhash64("key"), "key").select("words").limit(PIVOTS).collect()]
@@ -290,9 +291,10 @@ def similar_sets(sets: DataFrame, t: tuple[int, int] = THRESHOLD, hot: int = HOT
     """
     spark = sets.sparkSession
     sets = sets.where(F.size("words") > 0)
-    scheme = learn_scheme(sets, t)
-    shared = spark.sparkContext.broadcast(scheme)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    n = sets.count()
+    shared = spark.sparkContext.broadcast(learn_scheme(sets, t, n))
+    # A record takes some 1.5 kB of block rows, so a part stays near 16 MB however many records there are.
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, n // PART_RECORDS)
     packed = sets.select("key", "words").mapInArrow(_packing(shared, parts), _PACKED)
     found = "a bigint, b bigint, hot boolean"
     first = materialise(packed.groupBy("part").applyInPandas(_comparing(shared, hot), found), "candidates")
