@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillweave.llm import leakage, mapping, neardup, pairs, topn
+from skillweave.llm import chunking, leakage, mapping, mixing, neardup, pairs, topn
 from skillweave.plans.tables import table
 
 
@@ -42,7 +42,22 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The mix to the plan's shares, one row per use of a document."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_plan"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, by source."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_plan"))[1]
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of the documents that exceed their source's limit."""
+    return chunking.pieces(table(spark, d, "documents"), table(spark, d, "source_plan"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
 
 ORACLE = {
     "p1_found": """
