@@ -209,7 +209,8 @@ def map_values(rows: DataFrame, reference: DataFrame, *, row_id: str, value: str
     """
     spark = rows.sparkSession
     held = rows.select(F.col(row_id).alias("row_id"), F.col(value).alias("value")).where(is_entry(F.col("value")))
-    values = held.select("value").distinct()
+    # Matching is the costly part, so the distinct values are dealt out evenly again.
+    values = held.select("value").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     entries = reference.where(F.col(title).isNotNull() & F.col(code).isNotNull()).select(F.col(code).cast("string").alias("c"), F.col(title).alias("t"))
     blocks = max(1, -(-entries.count() // LIST_BLOCK))
     hits = None
