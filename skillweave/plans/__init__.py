@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skillweave.plans import problems
+from skillweave.plans import links, problems, skills
 
-_MODULES = (problems,)
+_MODULES = (problems, skills, links)
 
 
 def queries() -> dict:
