@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skillweave.plans import links, problems, skills
+from skillweave.plans import analytics, links, problems, skills
 
-_MODULES = (problems, skills, links)
+_MODULES = (problems, skills, links, analytics)
 
 
 def queries() -> dict:

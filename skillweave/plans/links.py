@@ -11,7 +11,9 @@ from skillweave.operators import linkage, upsert
 from skillweave.operators.upsert import first_by
 from skillweave.plans.tables import table
 
-NOW = F.to_timestamp(F.lit("2025-01-01 00:00:00")).cast("timestamp_ntz")
+
+def _now():
+    return F.to_timestamp(F.lit("2025-01-01 00:00:00")).cast("timestamp_ntz")
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +167,7 @@ def expire_links(spark, d):
     links = table(spark, d, "uoc_occupation_links").select("uoc_code", "pipeline_run_id", "valid_to")
     last = links.agg(F.max("pipeline_run_id").alias("run"))
     touched = links.join(F.broadcast(last), F.col("pipeline_run_id") == F.col("run"), "left_semi")  # one row
-    return upsert.expire(links, touched, "uoc_code", NOW).groupBy("pipeline_run_id").agg(F.count_if(F.col("valid_to").isNull()).alias("n_open"), F.count_if(F.col("valid_to") == NOW).alias("n_expired"), F.count("*").alias("n_rows"))
+    return upsert.expire(links, touched, "uoc_code", _now()).groupBy("pipeline_run_id").agg(F.count_if(F.col("valid_to").isNull()).alias("n_open"), F.count_if(F.col("valid_to") == _now()).alias("n_expired"), F.count("*").alias("n_rows"))
 
 
 def backfill_titles(spark, d):

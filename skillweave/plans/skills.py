@@ -10,33 +10,37 @@ from skillweave.functions import text as tx
 from skillweave.operators import export, normalise, upsert
 from skillweave.plans.tables import table
 
-S = F.col("skill_statement")
-ORDER = [F.col("row_index").asc_nulls_last(), F.col("id")]
+def _s():
+    return F.col("skill_statement")
+
+
+def _order():
+    return [F.col("row_index").asc_nulls_last(), F.col("id")]
 
 
 def _skills(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rsd_skill_records").where(tx.has_text(S))
+    return table(spark, d, "rsd_skill_records").where(tx.has_text(_s()))
 
 
 def qa_check(spark, d):
     """Rule check of every statement."""
-    return _skills(spark, d).select("id", *[c.alias(n) for n, c in tx.qa(S).items()])
+    return _skills(spark, d).select("id", *[c.alias(n) for n, c in tx.qa(_s()).items()])
 
 
 def qa_issues(spark, d):
     """Issues of the statements that fail."""
-    return _skills(spark, d).select("id", tx.qa_issues(S).alias("issues")).where("issues <> ''")
+    return _skills(spark, d).select("id", tx.qa_issues(_s()).alias("issues")).where("issues <> ''")
 
 
 def qa_agreement(spark, d):
     """How often the stored flag agrees with the rules."""
-    flags = _skills(spark, d).select(F.coalesce("qa_passes", F.lit(False)).alias("qa_passes"), tx.qa(S)["passes"].alias("rule"))
+    flags = _skills(spark, d).select(F.coalesce("qa_passes", F.lit(False)).alias("qa_passes"), tx.qa(_s())["passes"].alias("rule"))
     return flags.groupBy("qa_passes", "rule").agg(F.count("*").alias("n"))
 
 
 def skill_classes(spark, d):
     """Verb, domain, verb group and complexity of every statement."""
-    return _skills(spark, d).select("id", tx.primary_verb(S).alias("verb"), tx.domain(S).alias("domain"), tx.verb_group(S).alias("verb_group"), tx.complexity(S).alias("complexity"))
+    return _skills(spark, d).select("id", tx.primary_verb(_s()).alias("verb"), tx.domain(_s()).alias("domain"), tx.verb_group(_s()).alias("verb_group"), tx.complexity(_s()).alias("complexity"))
 
 
 def blob_parse(spark, d):
@@ -65,19 +69,19 @@ def section_carry(spark, d):
 
 
 def unit_numbering(spark, d):
-    return export.numbered_unit(table(spark, d, "rsd_skill_records").select("id", "unit_code", "row_index"), ORDER).select("id", "unit_number")
+    return export.numbered_unit(table(spark, d, "rsd_skill_records").select("id", "unit_code", "row_index"), _order()).select("id", "unit_number")
 
 
 def rsd_rows(spark, d):
-    return export.rsd_rows(table(spark, d, "rsd_skill_records"), ORDER)
+    return export.rsd_rows(table(spark, d, "rsd_skill_records"), _order())
 
 
 def osmt_rows(spark, d):
-    return export.osmt_rows(table(spark, d, "rsd_skill_records"), ORDER, "curriculum team")
+    return export.osmt_rows(table(spark, d, "rsd_skill_records"), _order(), "curriculum team")
 
 
 def traceability(spark, d):
-    return export.traceability(table(spark, d, "rsd_skill_records"), ORDER)
+    return export.traceability(table(spark, d, "rsd_skill_records"), _order())
 
 
 def prompts(spark, d):
