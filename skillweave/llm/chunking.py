@@ -2,7 +2,7 @@
 
 Content-defined chunking: a rolling hash over the last WINDOW tokens marks landmarks. From the start of a piece the
 first landmark between the least and the greatest size is taken and snapped to the nearest natural boundary there
-(paragraph, line or sentence end; else a clause, else a word, else a character). Where a piece ends thus depends on
+(paragraph, line or sentence end; if there is none, the last one before; else a clause, a word or a character). Where a piece ends thus depends on
 nearby text only, so an edit alters the pieces around it and later pieces fall into step again. The next piece starts
 `overlap` tokens before the end of the last.
 """
@@ -74,8 +74,12 @@ class Document:
     def text(self, lo: int, hi: int) -> str:
         return self.data[self.offsets[lo] : self.offsets[hi]].decode()
 
-    def cut(self, start: int, least: int, most: int, marks: np.ndarray) -> int:
-        """End of the piece that begins at token `start`."""
+    def cut(self, start: int, least: int, most: int, overlap: int, marks: np.ndarray) -> int:
+        """End of the piece that begins at token `start`.
+
+        A better boundary before the least size is taken over a worse one after it, as long as the piece is longer than
+        its overlap with the next.
+        """
         lo, hi = start + least, start + most
         i = np.searchsorted(marks, lo)
         mark = int(marks[i]) if i < len(marks) and marks[i] <= hi else hi
@@ -85,6 +89,8 @@ class Document:
             if a < b:
                 near = ends[a:b]
                 return int(near[np.abs(near - mark).argmin()])
+            if a and ends[a - 1] > start + overlap:
+                return int(ends[a - 1])
         a, b = np.searchsorted(self.whole, start, side="right"), np.searchsorted(self.whole, hi, side="right")
         return int(self.whole[b - 1]) if a < b else int(self.whole[min(a, len(self.whole) - 1)])
 
@@ -97,7 +103,7 @@ class Document:
         while True:
             room = most
             while True:
-                end = n if n - start <= room else self.cut(start, min(least, room), room, marks)
+                end = n if n - start <= room else self.cut(start, min(least, room), room, overlap, marks)
                 size = len(self.encode(self.text(start, end)))
                 # Cut off from its context a text may take other tokens; a piece that grows past the limit is shortened.
                 if size <= most or room <= 1:
