@@ -24,6 +24,8 @@ ONE_REFERENCE = 18
 #: Bytes beyond those, per byte of response, up to which the response is all copy; and the length below which a
 #: response that breaks off is no copy even so.
 COPY_SHARE, COPY_BYTES = 0.10, 100
+#: Most bytes that a copy takes of those that it would take without the prompt.
+WITHOUT_SHARE = 0.35
 #: Share of ends below which a pair of words doesn't end a response.
 END_SHARE = 0.25
 
@@ -120,8 +122,11 @@ def copy_cost(prompt: str, response: str) -> tuple[int, int]:
     if len(a) < 8:
         return len(b), len(b)
     known = zstandard.ZstdCompressionDict(a, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packed = zstandard.ZstdCompressor(level=19, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b)
-    return max(0, len(packed) - ONE_REFERENCE), len(b)
+    plainly = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    cost = max(0, len(zstandard.ZstdCompressor(dict_data=known, **plainly).compress(b)) - ONE_REFERENCE)
+    if 1 < cost <= COPY_SHARE * len(b) and b not in a and cost > WITHOUT_SHARE * len(zstandard.ZstdCompressor(**plainly).compress(b)):
+        cost = len(b)  # it is the response that repeats itself, not the prompt
+    return cost, len(b)
 
 
 def last_pair(text: str) -> tuple[str, bool]:
