@@ -135,7 +135,7 @@ def complexity(text: Column) -> Column:
     total = reduce(lambda a, b: a + b, counts.values())
     weighted = reduce(lambda a, b: a + b, [n * w for w, n in counts.items()])
     score = weighted / F.nullif(total, F.lit(0)) + F.least(F.size(found) / F.lit(20.0), F.lit(1.5))
-    return F.coalesce(F.round(F.least(F.greatest(score, F.lit(1.0)), F.lit(10.0)), 1), F.lit(5.0))
+    return F.when(score.isNull(), 5.0).otherwise(F.round(F.least(F.greatest(score, F.lit(1.0)), F.lit(10.0)), 1))
 
 
 def band(score: Column, high: float, middle: float, names: tuple[str, str, str] = ("High", "Medium", "Low")) -> Column:

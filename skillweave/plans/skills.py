@@ -158,7 +158,7 @@ WITH w AS (SELECT id, unit_code, tp_code, element_title, skill_statement, {_W} w
 s AS (SELECT *, {_SIGNALS} FROM w),
 c AS (SELECT id, unit_code, tp_code, element_title, skill_statement, coalesce(list_filter(w, lambda x: list_contains({_lit(tx.ACTION_VERBS)}, x))[1], 'other') verb, {_DOMAIN} "domain",
   CASE {" ".join(f"WHEN list_has_any(w, {_lit(v.split())}) THEN '{g}'" for g, v in tx.VERB_GROUPS.items())} ELSE 'Other' END verb_group,
-  coalesce(round(least(greatest((s9 * 9 + s5 * 5 + s2 * 2)::DOUBLE / nullif(s9 + s5 + s2, 0) + least(len(w) / 20.0, 1.5), 1.0), 10.0), 1), 5.0) complexity FROM s)
+  CASE WHEN s9 + s5 + s2 = 0 THEN 5.0 ELSE round(least(greatest((s9 * 9 + s5 * 5 + s2 * 2)::DOUBLE / (s9 + s5 + s2) + least(len(w) / 20.0, 1.5), 1.0), 10.0), 1) END complexity FROM s)
 """
 _LEVEL = lambda names: "CASE WHEN coalesce(aqf_level, '') = '' THEN 'Unspecified' " + " ".join(f"WHEN contains(lower(aqf_level), '{n.lower()}') THEN '{codes.LEVEL_LABELS[n]}'" for n in names) + " ELSE aqf_level END"
 _FP = "concat_ws(chr(31), coalesce(uoc_code, chr(0)), coalesce(uoc_title, chr(0)), coalesce(tp_code, chr(0)))"

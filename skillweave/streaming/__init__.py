@@ -1 +1,97 @@
+"""Streaming forms of the incremental operations: resumable intake, idempotent merges, change detection, histories."""
 
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from skillweave.operators.upsert import upsert
+
+
+def read_new_files(spark: SparkSession, folder: str, schema: str, kind: str = "parquet", files_per_batch: int = 100) -> DataFrame:
+    """Files that arrive in a folder; what earlier runs took is known from the checkpoint."""
+    return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
+
+
+class VersionedTable:
+    """A Parquet table of immutable versions with a pointer to the current one: readers never see half a merge."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+        return jvm, at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def current(self) -> tuple[str | None, int]:
+        """(folder, last batch) of the current version."""
+        _, at, fs = self._fs()
+        if not fs.exists(at):
+            return None, -1
+        row = self.spark.read.text(f"{self.path}/current").head()
+        folder, batch = row[0].split("\t")
+        return folder, int(batch)
+
+    def read(self) -> DataFrame:
+        folder, _ = self.current()
+        return self.spark.read.schema(self.schema).parquet(folder) if folder else self.spark.createDataFrame([], self.schema)
+
+    def replace(self, rows: DataFrame, batch: int) -> None:
+        folder = f"{self.path}/v-{batch}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(folder)
+        jvm, at, fs = self._fs()
+        staged = jvm.org.apache.hadoop.fs.Path(f"{self.path}/next-{uuid.uuid4().hex[:8]}")
+        out = fs.create(staged, True)
+        out.write(bytearray(f"{folder}\t{batch}".encode()))
+        out.close()
+        fs.delete(at, False)
+        fs.rename(staged, at)
+
+
+def merge_stream(stream: DataFrame, table: VersionedTable, keys: Sequence[str], policy: Mapping[str, str], checkpoint: str, arrival: Callable[[], Sequence[Column]] | None = None) -> StreamingQuery:
+    """Every batch is upserted once: a batch that is delivered again after a failure is recognised by its number."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if number <= table.current()[1]:
+            return
+        table.replace(upsert(table.read(), batch, keys, policy, arrival() if arrival else None), number)
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def changed_content(stream: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, digest, deliveries) of each delivery whose content differs from the key's last one."""
+
+    def detect(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (None, 0)
+        out = []
+        for pdf in batches:
+            for d in pdf["digest"]:
+                n += 1
+                if d != last:
+                    out.append((k[0], d, n))
+                    last = d
+        state.update((last, n))
+        yield pd.DataFrame(out, columns=["key", "digest", "deliveries"])
+
+    digested = stream.select(F.col(key).cast("string").alias("key"), F.md5(F.coalesce(F.col(content).cast("string"), F.lit("\x00"))).alias("digest"))
+    return digested.groupBy("key").applyInPandasWithState(detect, "key string, digest string, deliveries int", "last string, n int", "append", GroupStateTimeout.NoTimeout)
+
+
+def windowed_counts(stream: DataFrame, at: str, group: str, value: str, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """(window_start, group, n, total) by event time; rows later than `late` are dropped by the watermark."""
+    window = F.window(at, length, slide) if slide else F.window(at, length)
+    counted = stream.withWatermark(at, late).groupBy(window.alias("w"), group).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return counted.select(F.col("w.start").alias("window_start"), group, "n", "total")
+
+
+def first_deliveries(stream: DataFrame, keys: Sequence[str], at: str, late: str = "1 day") -> DataFrame:
+    """Each key once within the watermark."""
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
