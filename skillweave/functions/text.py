@@ -102,8 +102,7 @@ def _literals(values) -> Column:
 
 def primary_verb(text: Column) -> Column:
     """The first action verb of a text, else 'other'."""
-    verbs = _literals(ACTION_VERBS)
-    return F.coalesce(F.try_element_at(F.filter(words(text), lambda w: F.array_contains(verbs, w)), F.lit(1)), F.lit("other"))
+    return F.coalesce(F.try_element_at(F.filter(words(text), lambda w: w.isin(*ACTION_VERBS)), F.lit(1)), F.lit("other"))
 
 
 def domain(text: Column) -> Column:
@@ -130,7 +129,7 @@ def verb_group(text: Column) -> Column:
 def complexity(text: Column) -> Column:
     """Score from 1 to 10 by signal words, with a bonus for length; 5.0 without signals."""
     found = words(text)
-    among = lambda signals: lambda w: F.array_contains(_literals(signals.split()), w)
+    among = lambda signals: lambda w: w.isin(*signals.split())
     counts = {w: F.size(F.filter(found, among(s))) for w, s in COMPLEXITY.items()}
     total = reduce(lambda a, b: a + b, counts.values())
     weighted = reduce(lambda a, b: a + b, [n * w for w, n in counts.items()])
@@ -166,8 +165,8 @@ def prompt(unit_code: Column, unit_title: Column, element: Column, criteria: Col
 
 def content_terms(text: Column, ngrams: int = 1) -> Column:
     """Words of two or more characters without stop words; with ngrams=2 also pairs of neighbours among them."""
-    stop = _literals(STOP_WORDS)
-    single = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    # isin is a hash lookup; looking through an array of literals would compare with every one of them.
+    single = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
     if ngrams == 1:
         return single
     pairs = F.when(F.size(single) > 1, F.transform(F.sequence(F.lit(1), F.size(single) - 1), lambda i: F.concat(F.element_at(single, i), F.lit(" "), F.element_at(single, i + 1)))).otherwise(F.array().cast("array<string>"))

@@ -11,6 +11,7 @@ from skillweave.operators.upsert import first_by
 from skillweave.plans import skills as sk
 from skillweave.plans.links import PRIMARY_SQL
 from skillweave.plans.tables import table
+from skillweave.session import materialise
 
 def _s():
     return F.col("skill_statement")
@@ -169,7 +170,7 @@ def _occupation_base(spark: SparkSession, d: str) -> DataFrame:
 
 def _occupation_pairs(spark: SparkSession, d: str) -> DataFrame:
     weights = occupations.occupation_terms(_occupation_base(spark, d), "anzsco_code", _s())
-    return similarity.cosine_pairs(weights, "anzsco_code", 0.3)
+    return materialise(similarity.cosine_pairs(weights, "anzsco_code", 0.3, few=True), "pairs")  # as the classification has entries
 
 
 def occupation_pairs(spark, d):
