@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillweave.session import materialise
+from skillweave.session import discard, materialise
 
 MOST_ROUNDS = 60
 
@@ -27,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         new = materialise(small, "edges")
         same = new.join(links, ["a", "b"], "left_anti").limit(1).count() + links.join(new, ["a", "b"], "left_anti").limit(1).count() == 0
+        discard(links)
         links = new
         if same:
             break

@@ -110,6 +110,14 @@ l3 AS (SELECT k, a, coalesce(lead(a) OVER (PARTITION BY k ORDER BY a), u) n, cou
 SELECT 'qual_registry' src_table, k entity_key, strftime(a, '%Y-%m-%d') valid_from, coalesce(strftime(n, '%Y-%m-%d'), '') valid_to FROM q3
 UNION ALL
 SELECT 'uoc_occupation_links', k, strftime(a, '%Y-%m-%d %H:%M:%S'), coalesce(strftime(n, '%Y-%m-%d %H:%M:%S'), '') FROM l3 WHERE c > 1
+""",
+    "p4_found": """
+WITH c AS (SELECT 'tga_qualifications_updated' src_table, row_id, unnest(['core_unit_codes', 'elective_unit_codes', 'taxonomy_occupation']) field, unnest([core_unit_codes, elective_unit_codes, taxonomy_occupation]) t FROM tga_qualifications_updated
+  UNION ALL SELECT 'rsd_skill_records', id, 'keywords', keywords FROM rsd_skill_records),
+l AS (SELECT src_table, row_id, field, list_filter(list_transform(regexp_extract_all(t, '(?:"(?:[^"]|"")*"|“[^”]*”|[^,;|•\t\r\n"“])+'), lambda x: trim(x, ' ' || chr(160) || chr(8203))), lambda x: x <> '') l
+  FROM c WHERE t IS NOT NULL AND upper(trim(t)) NOT IN ('', 'N/A')),
+i AS (SELECT src_table, row_id, field, list_filter(list_transform(l, lambda x: CASE WHEN length(x) > 1 AND x[1] IN ('"', '“') AND x[-1] IN ('"', '”') THEN trim(replace(x[2:-2], '""', '"')) ELSE x END), lambda x: x <> '') l FROM l)
+SELECT src_table, row_id, field, generate_subscripts(l, 1)::BIGINT pos, unnest(l) item FROM i
 """,
     "p6_found": _REGISTRY_SQL + "SELECT src_table, ref_field, row_id, reason FROM f WHERE reason IS NOT NULL",
     "p6_report": _REGISTRY_SQL + """SELECT src_table, ref_field, strftime(created_at, '%Y-%m') "month", reason, count(*) n_refs, count(DISTINCT code) n_codes

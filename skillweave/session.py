@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -23,10 +24,11 @@ DEFAULTS = {
 
 _folders: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: dict[int, tuple] = {}
 
 
 def build_session(app: str = "skillweave", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the engine's defaults. `conf` keys use underscores for dots."""
+    """A session with the engine's defaults. `conf` keys have two underscores for each dot."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -82,14 +84,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _written[id(written)] = (weakref.ref(written), path)
+    return written
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that `materialise` returned and nothing reads any more."""
+    held, path = _written.pop(id(table), (lambda: None, None))
+    if held() is table:
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _forget(spark: SparkSession, app: str) -> None:
     path = _folders.pop(app, None)
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     except Exception:  # noqa: BLE001 - the session may be gone already; the folder then stays for its owner
         pass
