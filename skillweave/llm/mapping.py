@@ -99,6 +99,15 @@ class Reference:
                 posting[g].append((i, n * self.idf[g] / norm))
         self.posting = {g: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for g, p in posting.items()}
         self.alike: dict[str, dict[str, float]] = {}
+        self.near: dict[str, set[str]] = defaultdict(set)
+        for w in self.vocabulary:
+            for pair in self.pairs(w):
+                self.near[pair].add(w)
+
+    @staticmethod
+    def pairs(word: str) -> set[str]:
+        """Pairs of neighbouring letters, and the first letter; words that resemble each other share one."""
+        return {word[:1], *(word[i : i + 2] for i in range(len(word) - 1)), word[-1:] + "#"}
 
     def cosines(self, words: list[str]) -> np.ndarray:
         counts = Counter(g for w in words for g in grams(w))
@@ -121,7 +130,7 @@ class Reference:
             elif word.endswith("s") and word[:-1] in self.vocabulary:
                 found[word[:-1]] = 1.0
             elif not word.isdigit():
-                for w in sorted(self.vocabulary):
+                for w in sorted(set().union(*(self.near.get(p, ()) for p in self.pairs(word)))):
                     most = 2 if len(w) >= 5 else 1 if len(w) >= 4 else 0
                     d = min(distance(word, w, most), distance(word, w + "s", most)) if most else 9
                     if d <= most:
