@@ -12,6 +12,11 @@ a Jaccard similarity of at least t differ in at most D = (1-t)/(1+t) * (a+b) wor
 3. Survivors are verified: first on 64-bit foldings of their fingerprints (the parity of the words that fall on each
    bit; folding never adds a difference), where the pair was found, then on their words.
 
+Many records (over WIDE) make such blocks large. Then half as many segments are dealt and one of them is allowed a single
+difference: a record also enters the blocks of its segments with one word left out, and is compared there with the
+records that have the segment as it is. That takes some 150 block rows a record instead of 33, but blocks shrink with the
+square of their former share, and again no pair is lost.
+
 A block of over `hot` records (boilerplate that many records share) is divided again: its records are dealt to
 segments of another deal of the words, as a pair within D must agree in one of those too.
 """
@@ -34,6 +39,8 @@ THRESHOLD = (4, 5)
 #: Words in at least this share of the records are weighed; there are at most (mean words a record) / share of them.
 FREQUENT = 0.001
 HOT = 3_000
+#: Records above which segments may differ in one word.
+WIDE = 3_000_000
 #: Records a part of the block shuffle.
 PART_RECORDS = 10_000
 #: Pairs compared at once.
@@ -47,6 +54,9 @@ def word_set(*columns: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
+LOWER, LESS = 1, 2
+
+
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit mixing function (splitmix64), so that deals with different salts are independent."""
     with np.errstate(over="ignore"):
@@ -59,8 +69,8 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 class Scheme:
     """Deals of the words to segments for every size class, and the pivots."""
 
-    def __init__(self, frequent: list[tuple[int, float]], pivots: list[list[int]], t: tuple[int, int]):
-        self.t = t
+    def __init__(self, frequent: list[tuple[int, float]], pivots: list[list[int]], t: tuple[int, int], slack: int = 0):
+        self.t, self.slack = t, slack
         self.words = np.array(sorted(w for w, _ in frequent), dtype=np.int64)
         share = dict(frequent)
         p = np.array([share[w] for w in self.words.tolist()])
@@ -123,20 +133,22 @@ class Scheme:
         return out
 
     def signatures(self, words: np.ndarray, record: np.ndarray, sizes: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(record, signature, lower): the segments in which a partner may agree, for a record's class and the next.
+        """(record, signature, mark): the segments in which a partner may agree, for a record's class and the next.
 
-        `lower` marks a record below the class; two such records meet in their own class, so not here.
+        Marks add LOWER for a record below the class (two such records meet in their own class, so not here) and LESS for
+        a segment with a word left out (two such rows differ by two words, so they needn't meet).
         """
         edges = self.edges()
         own = np.searchsorted(edges, sizes, side="right") - 1
-        rows, sigs, lower = [], [], []
+        rows, sigs, marks = [], [], []
+        share = 1 + self.slack  # differences that uses up a segment
         for c in np.unique(np.concatenate([own, own + 1])).tolist():
             top = int(edges[c + 1]) - 1  # the largest record of class c, the larger of a pair
-            n = int(self.distance(2 * top)) + 1
+            n = -(-(int(self.distance(2 * top)) + 1) // share)
             mine = np.flatnonzero((own == c) | (own == c - 1))
             # A record needs no more segments than its own farthest partner asks for.
             partner = np.minimum(sizes[mine] * self.t[1] // self.t[0], top)
-            emit = np.minimum(self.distance(sizes[mine] + partner) + 1, n)
+            emit = np.minimum(-(-(self.distance(sizes[mine] + partner) + 1) // share), n)
             here = np.full(len(sizes), -1, dtype=np.int64)
             here[mine] = np.arange(len(mine))
             take = here[record] >= 0
@@ -146,14 +158,20 @@ class Scheme:
             order = np.argsort(key, kind="stable")
             total = np.zeros(len(mine) * n, dtype=np.uint64)
             uniq, first = np.unique(key[order], return_index=True)
+            code = _mix(w, 99)
             if len(uniq):
-                total[uniq] = np.add.reduceat(_mix(w, 99)[order], first)
-            sig = _mix(total + _mix(np.tile(np.arange(n), len(mine)) + 1000 * c + 10_000_000 * salt, 5), 7)
+                total[uniq] = np.add.reduceat(code[order], first)
+            place = _mix(np.arange(n) + 1000 * c + 10_000_000 * salt, 5)
             wanted = np.tile(np.arange(n), len(mine)) < np.repeat(emit, n)
             rows.append(np.repeat(mine, n)[wanted])
-            sigs.append(sig[wanted])
-            lower.append(own[rows[-1]] < c)
-        return np.concatenate(rows), np.concatenate(sigs), np.concatenate(lower)
+            sigs.append(_mix(total + np.tile(place, len(mine)), 7)[wanted])
+            marks.append(np.where(own[rows[-1]] < c, LOWER, 0))
+            if self.slack:
+                used = seg < emit[r]
+                rows.append(mine[r[used]])
+                sigs.append(_mix(total[key[used]] - code[used] + place[seg[used]], 7))
+                marks.append(np.where(own[rows[-1]] < c, LOWER, 0) + LESS)
+        return np.concatenate(rows), np.concatenate(sigs), np.concatenate(marks).astype(np.uint8)
 
 
 def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,18 +181,18 @@ def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Block:
-    """Rows of blocks: record keys, foldings, distances to the pivots (the first is the size) and the `lower` marks."""
+    """Rows of blocks: record keys, foldings, distances to the pivots (the first is the size) and marks."""
 
-    def __init__(self, sig: np.ndarray, key: np.ndarray, fold: np.ndarray, lower: np.ndarray, at: np.ndarray):
-        self.sig, self.key, self.fold, self.lower, self.at = sig, key, fold, lower, at
+    def __init__(self, sig: np.ndarray, key: np.ndarray, fold: np.ndarray, mark: np.ndarray, at: np.ndarray):
+        self.sig, self.key, self.fold, self.mark, self.at = sig, key, fold, mark, at
 
     def take(self, rows: np.ndarray) -> Block:
-        return Block(self.sig[rows], self.key[rows], self.fold[rows], self.lower[rows], self.at[rows])
+        return Block(self.sig[rows], self.key[rows], self.fold[rows], self.mark[rows], self.at[rows])
 
     def packed(self) -> list[bytes]:
         most = self.at.max(initial=0)
         at = self.at.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.int32)
-        return [x.tobytes() for x in (self.sig, self.key, self.fold, self.lower, at)]
+        return [x.tobytes() for x in (self.sig, self.key, self.fold, self.mark, at)]
 
     @staticmethod
     def unpacked(rows: pd.DataFrame) -> Block:
@@ -182,17 +200,17 @@ class Block:
         kinds = {1: np.uint8, 2: np.uint16, 4: np.int32}
         width = PIVOTS + 1
         at = [np.frombuffer(x, kinds[len(x) // (len(k) // 8 * width)]).reshape(-1, width).astype(np.int32) for x, k in zip(rows["at"], rows["key"], strict=True)]
-        return Block(join("sig", np.uint64), join("key", np.int64), join("fold", np.uint64), join("lower", np.bool_), np.concatenate(at))
+        return Block(join("sig", np.uint64), join("key", np.int64), join("fold", np.uint64), join("mark", np.uint8), np.concatenate(at))
 
 
-_PACKED = "part int, sig binary, key binary, fold binary, lower binary, at binary"
+_PACKED = "part int, sig binary, key binary, fold binary, mark binary, at binary"
 
 
 def _rows_of(scheme: Scheme, keys: np.ndarray, lists: pa.Array, salt: int = 0) -> tuple[np.ndarray, Block]:
     """(record, block row) of a batch of records."""
     words, record, sizes = _flat(lists)
-    row, sig, lower = scheme.signatures(words, record, sizes, salt)
-    return row, Block(sig, keys[row], scheme.folding(words, record, len(sizes))[row], lower, scheme.coordinates(words, record, sizes)[row])
+    row, sig, mark = scheme.signatures(words, record, sizes, salt)
+    return row, Block(sig, keys[row], scheme.folding(words, record, len(sizes))[row], mark, scheme.coordinates(words, record, sizes)[row])
 
 
 def _emit(block: Block, parts: int) -> pa.RecordBatch:
@@ -202,7 +220,7 @@ def _emit(block: Block, parts: int) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     groups = np.split(order, cuts)
     blobs = [block.take(g).packed() for g in groups]
-    return pa.RecordBatch.from_arrays([pa.array(part[[g[0] for g in groups]].astype(np.int32)), *[pa.array([x[i] for x in blobs], pa.binary()) for i in range(5)]], names=["part", "sig", "key", "fold", "lower", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(part[[g[0] for g in groups]].astype(np.int32)), *[pa.array([x[i] for x in blobs], pa.binary()) for i in range(5)]], names=["part", "sig", "key", "fold", "mark", "at"])
 
 
 def _packing(shared, parts: int):
@@ -216,11 +234,13 @@ def _packing(shared, parts: int):
 
 
 def _survivors(block: Block, starts: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within blocks (rows starts..starts+sizes, `lower` rows last) that neither pivots nor foldings discard."""
-    # Row i of a block is paired with all later rows of it, unless it is lower; rows are taken in chunks of _CHUNK pairs.
+    """Pairs within blocks (rows starts..starts+sizes, by mark) that neither pivots nor foldings discard."""
+    # A row is paired with all later rows of its block, unless its mark forbids it; rows are taken in chunks of _CHUNK pairs.
     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     row = np.repeat(starts, sizes) + place
-    later = np.where(block.lower[row], 0, np.repeat(sizes, sizes) - place - 1)
+    # Without slack the lower rows are the last, and only meet each other; with it they meet rows that lack a word.
+    idle = (block.mark[row] & LESS > 0) if scheme.slack else block.mark[row] > 0
+    later = np.where(idle, 0, np.repeat(sizes, sizes) - place - 1)
     row, later = row[later > 0], later[later > 0]
     bounds = np.concatenate([[0], np.cumsum(later)])
     columns = [np.ascontiguousarray(block.at[:, k]) for k in range(block.at.shape[1])]
@@ -234,7 +254,7 @@ def _survivors(block: Block, starts: np.ndarray, sizes: np.ndarray, scheme: Sche
         for column in columns:
             ok = np.abs(column[a] - column[b]) <= most
             a, b, most = a[ok], b[ok], most[ok]
-        ok = (np.bitwise_count(block.fold[a] ^ block.fold[b]) <= most) & (block.key[a] != block.key[b])
+        ok = (np.bitwise_count(block.fold[a] ^ block.fold[b]) <= most) & (block.key[a] != block.key[b]) & (block.mark[a] & block.mark[b] & LOWER == 0)
         x, y = block.key[a[ok]], block.key[b[ok]]
         yield np.minimum(x, y), np.maximum(x, y)
         lo = hi
@@ -245,8 +265,8 @@ def _comparing(shared, hot: int):
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         block = Block.unpacked(pdf)
-        block = block.take(np.lexsort((block.key, block.lower, block.sig)))
-        fresh = np.append(True, (block.sig[1:] != block.sig[:-1]) | (block.key[1:] != block.key[:-1]))
+        block = block.take(np.lexsort((block.key, block.mark, block.sig)))
+        fresh = np.append(True, (block.sig[1:] != block.sig[:-1]) | (block.key[1:] != block.key[:-1]) | (block.mark[1:] != block.mark[:-1]))
         block = block.take(np.flatnonzero(fresh))
         starts = np.flatnonzero(np.append(True, block.sig[1:] != block.sig[:-1]))
         sizes = np.diff(np.append(starts, len(block.sig)))
@@ -274,27 +294,29 @@ def _dividing(shared, salt: int, parts: int):
     return divide
 
 
-def learn_scheme(sets: DataFrame, t: tuple[int, int], n: int) -> Scheme:
+def learn_scheme(sets: DataFrame, t: tuple[int, int], n: int, slack: int = 0) -> Scheme:
     """Word shares over all `n` records, and pivots from a bounded sample."""
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= FREQUENT * n)
     frequent = [(r.w, r["count"] / n) for r in counts.collect()] if n else []
     pivots = [list(r.words) for r in sets.orderBy(F.xxhash64("key"), "key").select("words").limit(PIVOTS).collect()]
     pivots += [[]] * (PIVOTS - len(pivots))
-    return Scheme(frequent, pivots, t)
+    return Scheme(frequent, pivots, t, slack)
 
 
-def similar_sets(sets: DataFrame, t: tuple[int, int] = THRESHOLD, hot: int = HOT, parts: int | None = None) -> DataFrame:
+def similar_sets(sets: DataFrame, t: tuple[int, int] = THRESHOLD, hot: int = HOT, parts: int | None = None, slack: int | None = None) -> DataFrame:
     """(a, b, common, either) of all pairs of different word sets with common / either >= t; a < b are keys.
 
     `sets` has key BIGINT (equal for equal sets) and words, the sorted distinct word hashes; rows with equal keys are
-    copies. It is read several times, so it should be a table. Sets without words have no partners.
+    copies. It is read several times, so it should be a table. Sets without words have no partners. slack: differences
+    allowed in a segment (0 or 1; by the number of records, if not given); the pairs are the same.
     """
     spark = sets.sparkSession
     sets = sets.where(F.size("words") > 0)
     n = sets.count()
-    shared = spark.sparkContext.broadcast(learn_scheme(sets, t, n))
-    # A record takes some 1.5 kB of block rows, so a part stays near 16 MB however many records there are.
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, n // PART_RECORDS)
+    slack = int(n > WIDE) if slack is None else slack
+    shared = spark.sparkContext.broadcast(learn_scheme(sets, t, n, slack))
+    # A record takes some 1.5 kB of block rows (5 with slack), so a part stays near 16 MB however many records there are.
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, n * (1 + 2 * slack) // PART_RECORDS)
     packed = sets.select("key", "words").mapInArrow(_packing(shared, parts), _PACKED)
     found = "a bigint, b bigint, hot boolean"
     first = materialise(packed.groupBy("part").applyInPandas(_comparing(shared, hot), found), "candidates")

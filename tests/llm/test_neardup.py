@@ -63,8 +63,17 @@ def test_oversized_blocks_are_divided(spark):
     df = spark.createDataFrame([(i, a, b, "", "", 0) for i, a, b in rows], SCHEMA)
     sets = neardup.word_sets(df, "id", "one", "two").select("key", "words")
     whole = {(r.a, r.b) for r in neardup.similar_sets(sets).collect()}
-    divided = {(r.a, r.b) for r in neardup.similar_sets(sets, hot=4).collect()}
-    assert whole == divided and whole
+    for slack in (0, 1):
+        assert whole == {(r.a, r.b) for r in neardup.similar_sets(sets, hot=4, slack=slack).collect()} and whole
+
+
+def test_slack_loses_nothing(spark):
+    rows = [(i, x, "") for i, x in make(500, 4)]
+    df = spark.createDataFrame([(i, a, b, "", "", 0) for i, a, b in rows], SCHEMA)
+    sets = neardup.word_sets(df, "id", "one", "two").select("key", "words")
+    plain = [(r.a, r.b) for r in neardup.similar_sets(sets, slack=0).collect()]
+    wide = [(r.a, r.b) for r in neardup.similar_sets(sets, slack=1).collect()]
+    assert sorted(plain) == sorted(wide) and len(set(wide)) == len(wide) > 50
 
 
 def test_copies_nulls_and_blanks(spark):
@@ -98,5 +107,6 @@ def test_bounds_hold():
         at, fold = scheme.coordinates(words, record, sizes), scheme.folding(words, record, 2)
         assert np.abs(at[0] - at[1]).max() <= differ and int(np.bitwise_count(fold[0] ^ fold[1])) <= differ
         if differ <= scheme.distance(len(a) + len(b)):
-            row, sig, _ = scheme.signatures(words, record, sizes)
-            assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+            for scheme.slack in (0, 1):
+                row, sig, _ = scheme.signatures(words, record, sizes)
+                assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
