@@ -64,5 +64,19 @@ ORACLE = {
 WITH u AS (SELECT * EXCLUDE (id), min(id) id FROM uoc_occupation_links WHERE confidence IS NOT NULL AND uoc_code IS NOT NULL GROUP BY ALL)
 SELECT uoc_code, id link_id FROM u
 QUALIFY row_number() OVER (PARTITION BY uoc_code ORDER BY confidence DESC, coalesce(is_primary, false) DESC, anzsco_code ASC NULLS LAST, id) <= 3
+""",
+    "p7_found": """
+WITH w AS (SELECT id, list_distinct(regexp_extract_all(lower(concat_ws(' ', element_title, pcs_text, skill_statement)), '\\p{L}+')) w FROM rsd_skill_records),
+u AS (SELECT id, len(w) n, unnest(w) x FROM w),
+p AS (SELECT a.id id_a, b.id id_b, any_value(a.n) + any_value(b.n) n, count(*) c FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM p WHERE c * 5 >= (n - c) * 4
+""",
+    "p8_found": """
+WITH i0 AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM eval_items),
+i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) r FROM i0),
+d0 AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) r FROM d0),
+n AS (SELECT item_id, count(*) n FROM i GROUP BY 1)
+SELECT doc_id, item_id FROM d JOIN i USING (r) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) * 2 >= n
 """,
 }
