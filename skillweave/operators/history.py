@@ -30,12 +30,12 @@ def state_text(*columns: Column) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit(_NULL)) for c in columns])
 
 
-#: Most (period, leaf) rows that are broadcast; beyond it the semi join shuffles.
+#: Most (period, leaf) rows that are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 
-def changed_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(period, leaf) of the buckets to diff, and the most rows that can be. `rows` has entity, period and content columns.
+def changed_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(period, leaf) of the buckets to diff, and of all buckets. `rows` has entity, period and content columns.
 
     Leaf digests are XORs of one digest per entity; an entity with two contents in a period gets a digest of its own,
     which never equals that of the period before. Upper levels XOR their children. A period is compared with the one
@@ -75,7 +75,15 @@ def changed_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
             now = now.join(parents, (F.col("period") == F.col("of")) & (F.shiftright("node", step) == F.col("parent")), "left_semi")
         old = level.select(F.col("period").alias("previous"), "node", F.col("d").alias("od"), F.col("e").alias("oe"))
         alive = now.join(old, ["previous", "node"], "left").where(~(F.col("d").eqNullSafe(F.col("od")) & F.col("e").eqNullSafe(F.col("oe")))).select("period", "node")
-    return alive.select("period", F.col("node").alias("leaf")), leaves.count()
+    named = lambda x: x.select("period", F.col("node").alias("leaf"))
+    return materialise(named(alive), "changed"), named(leaves)
+
+
+def in_changed_buckets(rows: DataFrame, changed: DataFrame, every: DataFrame) -> DataFrame:
+    """The rows (with period and leaf) of changed buckets, told by the shorter of the lists of changed and unchanged ones."""
+    n_changed, n = changed.count(), every.count()
+    few, how, size = (changed, "left_semi", n_changed) if 2 * n_changed <= n else (every.join(changed, ["period", "leaf"], "left_anti"), "left_anti", n - n_changed)
+    return rows.join(F.broadcast(few) if size <= BROADCAST_ROWS else few, ["period", "leaf"], how)
 
 
 _RUNS = T.StructType(
@@ -200,9 +208,9 @@ def version_history(
     ).where(F.col("entity").isNotNull() & F.col("at").isNotNull())
     base = base.withColumn("until", F.when(F.col("stated") > F.col("at"), F.col("stated"))).drop("stated")
     leaf = F.shiftrightunsigned(F.xxhash64("entity"), 64 - LEVELS[-1]).cast("int")
-    changed, most = changed_buckets(base.select("entity", "period", state_text(F.col("state"), F.col("until")).alias("content")))
+    changed, every = changed_buckets(base.select("entity", "period", state_text(F.col("state"), F.col("until")).alias("content")))
     order = ["entity", "at", *[F.col(f"by{i}").asc_nulls_first() for i in range(len(latest_by))]]
-    alive = base.withColumn("leaf", leaf).join(F.broadcast(changed) if most <= BROADCAST_ROWS else changed, ["period", "leaf"], "left_semi")
+    alive = in_changed_buckets(base.withColumn("leaf", leaf), changed, every)
     ordered = alive.select("entity", "at", "state", "until", *[f"by{i}" for i in range(len(latest_by))]).repartitionByRange(*order).sortWithinPartitions(*order)
     runs = materialise(ordered.select("entity", "at", "state", "until").mapInArrow(_runs(only_changed), _RUNS), "runs")
     edges = runs.where("edge").orderBy("pid", "seq").collect()  # three rows a partition at most
