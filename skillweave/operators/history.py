@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from skillweave.session import materialise
 
 #: Bits of the Merkle tree's levels below the root; the last is the leaf level.
-LEVELS = (4, 8, 12)
+LEVELS = (6, 12)
 _NULL = "\x00"
 
 
