@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skillweave.functions import codes
 from skillweave.functions import text as tx
-from skillweave.operators import linkage, upsert
+from skillweave.operators import ingest, linkage, upsert
 from skillweave.operators.upsert import first_by
 from skillweave.plans.tables import table
 
@@ -103,19 +103,17 @@ def tidy_taxonomy(spark, d):
 
 
 def _derived(spark: SparkSession, d: str) -> DataFrame:
-    """(uoc_code, qual_code, kind, row_id) of the packed lists of units."""
-    rows = table(spark, d, "tga_qualifications_updated")
-    sides = [rows.select("row_id", F.col("qualification_code").alias("qual_code"), F.lit(k).alias("kind"), F.explode(tx.listed(F.col(c), r"[\n\r\t;|•,]+")).alias("raw")) for k, c in (("core", "core_unit_codes"), ("elective", "elective_unit_codes"))]
-    plain = F.trim(F.translate("raw", '"“”', ""))
-    return sides[0].unionByName(sides[1]).select("row_id", "qual_code", "kind", plain.alias("uoc_code")).where(F.col("uoc_code").rlike(tx.UNIT_CODE))
+    return ingest.sheet_units(table(spark, d, "tga_qualifications_updated"))
 
 
 def derived_links(spark, d):
     """Links derived from the packed lists; all of a unit's highest confidence are primary."""
-    confidence = F.when(F.col("kind") == "core", F.lit("0.50")).otherwise(F.lit("0.40")).cast("decimal(5,3)")
-    rows = _derived(spark, d).select("uoc_code", "qual_code", "kind").distinct().withColumn("confidence", confidence)
-    best = F.max("confidence").over(Window.partitionBy("uoc_code"))
-    return rows.withColumn("is_primary", F.col("confidence") == best)
+    return ingest.sheet_links(table(spark, d, "tga_qualifications_updated")).select("uoc_code", "source_qual_code", "mapping_source", "confidence", "is_primary", "industry_sector")
+
+
+def seeded_units(spark, d):
+    """Units that the skill records name."""
+    return ingest.seed_units(table(spark, d, "rsd_skill_records"))
 
 
 def derived_memberships(spark, d):
@@ -191,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         linkage_candidates, linkage_best, linkage_primary, linkage_coverage, load_skills, occupation_skills, linked_records_top, unit_qualifications, taxonomy_long, taxonomy_last,
-        taxonomy_routed, tidy_taxonomy, derived_links, derived_memberships, upsert_qualifications, upsert_records, upsert_links, insert_absent, expire_links, backfill_titles,
+        taxonomy_routed, tidy_taxonomy, derived_links, seeded_units, derived_memberships, upsert_qualifications, upsert_records, upsert_links, insert_absent, expire_links, backfill_titles,
         unreferenced_units, latest_events,
     )
 }
@@ -239,7 +237,12 @@ ORACLE = {
   SELECT qual_code, field, string_agg(v, ', ' ORDER BY v) vals FROM r GROUP BY ALL""",
     "tidy_taxonomy": """WITH l AS (SELECT row_id, taxonomy_occupation t, list_filter(list_transform(string_split_regex(taxonomy_occupation, '[\\n\\r;|•]+'), lambda x: trim(x)), lambda x: x <> '') l FROM tga_qualifications_updated)
   SELECT row_id, CASE WHEN t IN ('', 'N/A') THEN t ELSE array_to_string(l, ', ') END occupations, coalesce(len(l), 0)::INT n FROM l""",
-    "derived_links": _DERIVED + "SELECT uoc_code, qual_code, kind, CAST(CASE kind WHEN 'core' THEN 0.5 ELSE 0.4 END AS DECIMAL(5,3)) confidence, (kind = 'core') = bool_or(kind = 'core') OVER (PARTITION BY uoc_code) is_primary FROM u",
+    "derived_links": _DERIVED.replace("SELECT qualification_code qual_code", "SELECT row_id, taxonomy_industry_sector sec, qualification_code qual_code").replace("SELECT qualification_code,", "SELECT row_id, taxonomy_industry_sector, qualification_code,").replace("qual_code, kind FROM x WHERE", "qual_code, kind, row_id, sec FROM x WHERE") + """,
+  o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY uoc_code, qual_code, kind ORDER BY row_id DESC) = 1)
+  SELECT uoc_code, qual_code source_qual_code, kind || '_native' mapping_source, CAST(CASE kind WHEN 'core' THEN 0.5 ELSE 0.4 END AS DECIMAL(5,3)) confidence, (kind = 'core') = bool_or(kind = 'core') OVER (PARTITION BY uoc_code) is_primary,
+    CASE WHEN coalesce(trim(sec), '') IN ('', 'N/A', 'nan') THEN '' ELSE trim(sec) END industry_sector FROM o""",
+    "seeded_units": """SELECT trim(unit_code) uoc_code, coalesce(nullif(trim(unit_title), ''), '') uoc_title, coalesce(nullif(trim(tp_code), ''), substr(trim(unit_code), 1, 3)) tp_code FROM rsd_skill_records WHERE trim(unit_code) <> ''
+  QUALIFY row_number() OVER (PARTITION BY trim(unit_code) ORDER BY coalesce(trim(unit_title), '') = '', id) = 1""",
     "derived_memberships": _DERIVED + "SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM uoc_qual_memberships k WHERE upper(trim(k.uoc_code)) = u.uoc_code AND upper(trim(k.qual_code)) = u.qual_code AND lower(trim(k.membership_type)) = u.kind)",
     "upsert_qualifications": """WITH o AS (SELECT * FROM qual_registry WHERE snapshot_date < DATE '2023-01-01' QUALIFY row_number() OVER (PARTITION BY qual_code ORDER BY snapshot_date DESC, ingested_at DESC, id DESC) = 1),
   n AS (SELECT * FROM qual_registry WHERE snapshot_date >= DATE '2023-01-01' QUALIFY row_number() OVER (PARTITION BY qual_code ORDER BY snapshot_date DESC, ingested_at DESC, id DESC) = 1)

@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.functions.text import routed
-
 _CODE = re.compile(r"[A-Z]{2,8}\d{3,6}[A-Z]?")
 _CODE_TITLE = re.compile(r"([A-Z]{2,8}\d{3,6}[A-Z]?)\s+(.*)", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -171,14 +170,31 @@ def units(html: Column) -> Column:
 # --- XML and JSON responses -----------------------------------------------------------------------------------------
 
 
+def taxonomy_of_xml(xml: str | None) -> dict[str, str]:
+    """Classification values of an XML response by scheme; a description counts before a value. Broken XML has none."""
+    found: dict[str, list[str]] = {"anzsco": [], "industry": [], "occupation": []}
+    try:
+        root = ElementTree.fromstring(xml) if xml else None
+    except ElementTree.ParseError:
+        root = None
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    for scheme in (e for e in root.iter() if local(e) == "ClassificationScheme") if root is not None else ():
+        text = {local(e): (e.text or "").strip() for e in reversed(list(scheme.iter()))}
+        name = text.get("Scheme", "")
+        key = "anzsco" if "ANZSCO" in name else "industry" if "Industry" in name or "Sector" in name else "occupation" if "Occupation" in name or "Taxonomy" in name else None
+        if key:
+            found[key].append(text.get("Description") or text.get("Value", ""))
+    return {k: ", ".join(v) for k, v in found.items()}
+
+
 def soap_taxonomy(xml: Column) -> Column:
-    """Classification values of an XML response, by scheme; namespaces don't matter. Built-in XPath, no Python."""
-    base = '//*[local-name()="ClassificationScheme"]'
-    every = lambda name: F.xpath(xml, F.lit(f'{base}//*[local-name()="{name}"]/text()'))
-    schemes, values = every("Scheme"), every("Value")
-    pairs = F.arrays_zip(schemes.alias("s"), values.alias("v"))
-    joined = lambda field: F.array_join(F.transform(F.filter(pairs, lambda p: routed(p["s"]) == field), lambda p: p["v"]), ", ")
-    return F.struct(*[joined(f).alias(f) for f in ("anzsco", "industry", "occupation")])
+    """taxonomy_of_xml as a column."""
+
+    @F.pandas_udf(TAXONOMY)
+    def parse(responses: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([taxonomy_of_xml(r) for r in responses], columns=["anzsco", "industry", "occupation"])
+
+    return parse(xml)
 
 
 UNIT_DETAIL = (

@@ -31,8 +31,9 @@ def test_html(spark):
 def test_soap(spark):
     one = "<ClassificationScheme><Scheme>{}</Scheme><Value>{}</Value></ClassificationScheme>"
     xml = '<s:Body xmlns:s="urn:x">' + one.format("ANZSCO Identifier", "3613") + one.format("Industry Sector", "Animals") + one.format("ANZSCO Identifier", "3614") + "</s:Body>"
-    row = spark.createDataFrame([(xml,)], "x string").select(pages.soap_taxonomy(F.col("x")).alias("t")).head().t
-    assert (row.anzsco, row.industry, row.occupation) == ("3613, 3614", "Animals", "")
+    described = xml.replace("<Value>Animals</Value>", "<Value>A</Value><Description>Animals</Description>")
+    rows = spark.createDataFrame([(1, xml), (2, described), (3, "<broken"), (4, None)], "i int, x string").select("i", pages.soap_taxonomy(F.col("x")).alias("t")).orderBy("i").collect()
+    assert [tuple(r.t) for r in rows] == [("3613, 3614", "Animals", "")] * 2 + [("", "", "")] * 2
 
 
 def test_unit_detail(spark):
