@@ -10,6 +10,11 @@ from skillweave.session import discard, materialise
 MOST_ROUNDS = 60
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """A number of the set of edges, to tell whether a round changed it."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(5), "a"))).head())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of the connected component of every node that `edges` (a, b) name.
 
@@ -17,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     component's size. Every round is written out, which cuts the lineage; nothing is gathered on the driver.
     """
     links = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    now = _digest(links)
     for _ in range(MOST_ROUNDS):
         # Large star: every larger neighbour of a node is linked to the node's smallest neighbour (or itself).
         both = links.union(links.select("b", "a"))
@@ -26,10 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         new = materialise(small, "edges")
-        same = new.join(links, ["a", "b"], "left_anti").limit(1).count() + links.join(new, ["a", "b"], "left_anti").limit(1).count() == 0
         discard(links)
-        links = new
-        if same:
+        links, before, now = new, now, _digest(new)
+        if now == before:
             break
     else:
         raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")
@@ -42,7 +47,8 @@ def density_clusters(nodes: DataFrame, key: str, edges: DataFrame, min_samples:
     A node with min_samples - 1 neighbours is core; cores that are near each other share a cluster; a border node joins
     the smallest cluster among its core neighbours.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    edges = materialise(edges.select("a", "b"), "near")  # read several times below
+    both = edges.union(edges.select("b", "a")).distinct()
     core = both.groupBy("a").count().where(F.col("count") + 1 >= min_samples).select("a")
     dense = both.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b")
     label = components(dense).select(F.col("node").alias("a"), F.col("component").alias("cluster"))
