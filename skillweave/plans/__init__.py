@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skillweave.plans import analytics, links, problems, skills
+from skillweave.plans import analytics, links, problems, skills, streams
 
-_MODULES = (problems, skills, links, analytics)
+_MODULES = (problems, skills, links, analytics, streams)
 
 
 def queries() -> dict:

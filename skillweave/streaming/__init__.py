@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from skillweave.operators.upsert import upsert
 
 
-def read_new_files(spark: SparkSession, folder: str, schema: str, kind: str = "parquet", files_per_batch: int = 100) -> DataFrame:
+def read_new_files(spark: SparkSession, folder: str, schema: str | StructType, kind: str = "parquet", files_per_batch: int = 100) -> DataFrame:
     """Files that arrive in a folder; what earlier runs took is known from the checkpoint."""
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
@@ -22,7 +23,7 @@ def read_new_files(spark: SparkSession, folder: str, schema: str, kind: str = "p
 class VersionedTable:
     """A Parquet table of immutable versions with a pointer to the current one: readers never see half a merge."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _fs(self):
