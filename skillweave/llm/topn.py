@@ -23,7 +23,12 @@ def row_digest(columns: Sequence[str]) -> list[Column]:
 
 
 def distinct_rows(rows: DataFrame, id_col: str, keep: Sequence[str]) -> DataFrame:
-    """Rows equal in everything but `id_col` as one, with the smallest id and the columns `keep`."""
+    """Rows equal in everything but `id_col` as one, with the smallest id and the columns `keep`.
+
+    Null equals null; maps, which can't be hashed, compare by their JSON.
+    """
+    maps = [c for c, kind in rows.dtypes if "map<" in kind and c not in keep]
+    rows = rows.withColumns({c: F.to_json(F.struct(c)) for c in maps}) if maps else rows
     others = [c for c in rows.columns if c != id_col]
     return rows.select(*keep, id_col, *row_digest(others)).groupBy(*keep, "_d1", "_d2").agg(F.min(id_col).alias(id_col)).drop("_d1", "_d2")
 

@@ -57,3 +57,8 @@ def test_nulls_in_other_places_differ(spark):
 
 def test_long_values(spark):
     assert run(spark, [("g" * 100_000, Decimal("0.5"), True, "c" * 100_000, 1, 0, 0, 0)]) == [("g" * 100_000, 1, 1)]
+
+
+def test_rows_with_nested_columns(spark):
+    df = spark.sql("select * from values (1, map('a', 1), array('x')), (2, map('a', 1), array('x')), (3, map('a', 2), array('x')), (4, null, null) t(id, m, l)")
+    assert sorted(r.id for r in topn.distinct_rows(df, "id", []).collect()) == [1, 3, 4]
