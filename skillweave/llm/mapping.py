@@ -18,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillweave.session import materialise
+
 N = 3
 #: Least cosine of a candidate, and how far below the best one may lie.
 THRESHOLD, WINDOW = 0.35, 0.45
 #: Lead of the best candidate's word quality over the next.
 MARGIN = 0.05
+#: Rows above which a value's decision is broadcast; there are at most (rows / HOT_ROWS) such values.
+HOT_ROWS = 100_000
 #: Entries of the list that one pass carries; longer lists are taken in blocks.
 LIST_BLOCK = 20_000
 
@@ -232,5 +236,9 @@ def map_values(rows: DataFrame, reference: DataFrame, *, row_id: str, value: str
     ranked = hits.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("missing", (-F.col("quality")).alias("worst"), "code"))).alias("hits"))
     one, two = F.element_at("hits", 1), F.try_element_at("hits", F.lit(2))
     clear = two.isNull() | (two["missing"] > one["missing"]) | (two["worst"] - one["worst"] >= MARGIN)
-    decided = ranked.select("value", F.when(clear, one["code"]).otherwise("").alias("code"))
-    return held.join(decided, "value", "left").select("row_id", "value", F.coalesce("code", F.lit("")).alias("code"))
+    decided = materialise(ranked.select("value", F.when(clear, one["code"]).otherwise("").alias("code")), "decided")
+    # A value that very many rows share would meet its decision in one task; the few such decisions are broadcast.
+    hot = materialise(held.groupBy("value").count().where(F.col("count") > HOT_ROWS).select("value"), "hot")
+    few = F.broadcast(hot.join(decided, "value", "left"))
+    rest = held.join(F.broadcast(hot), "value", "left_anti").join(decided, "value", "left")
+    return held.join(few, "value").unionByName(rest).select("row_id", "value", F.coalesce("code", F.lit("")).alias("code"))

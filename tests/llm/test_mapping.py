@@ -49,6 +49,12 @@ def test_repeats_and_long_values(find):
     assert find(["word " * 20_000]) == {0: ""}
 
 
+def test_hot_values(find, monkeypatch):
+    monkeypatch.setattr(mapping, "HOT_ROWS", 10)
+    values = ["Linen Finishing Surveyor"] * 50 + ["nothing alike"] * 50 + ["Sewer Laminating Analyst"] * 3
+    assert find(values) == dict(enumerate(["5"] * 50 + [""] * 50 + ["6"] * 3))
+
+
 def test_blocks_of_the_list(find, monkeypatch):
     monkeypatch.setattr(mapping, "LIST_BLOCK", 2)
     assert find(list(CASES)) == dict(enumerate(CASES.values()))
