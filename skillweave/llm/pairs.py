@@ -197,4 +197,6 @@ def broken_pairs(rows: DataFrame, *, record_id: str, prompt: str, response: str)
     ends = F.coalesce(F.col("ends") / F.nullif(F.col("ends") + F.col("goes"), F.lit(0)), F.lit(0.0))
     broken = F.col("pair").isNotNull() & (ends < END_SHARE)
     defect = F.when(F.col("label") == "copy?", F.when(broken, "truncated").otherwise("copy")).when(F.col("label").isNotNull(), F.col("label")).when(broken, "truncated")
-    return judged.join(model, "pair", "left").select("record_id", defect.alias("defect")).where(F.col("defect").isNotNull())
+    # Rows without a pair get a key of their own, else they would all meet in the partition of null.
+    keyed = judged.withColumn("key", F.coalesce("pair", F.concat(F.lit("\x00"), F.col("record_id").cast("string"))))
+    return keyed.join(model.withColumnRenamed("pair", "key"), "key", "left").select("record_id", defect.alias("defect")).where(F.col("defect").isNotNull())
