@@ -19,11 +19,12 @@ def first_by(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[Colu
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], policy: Mapping[str, str], arrival: Sequence[Column] | None = None) -> DataFrame:
+def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], policy: Mapping[str, str], arrival: Sequence[Column] | None = None, newer: Sequence[str] | None = None) -> DataFrame:
     """`base` after the rows of `delta`, matched on `keys` (null matches null).
 
     policy names how each column of an existing row changes; columns without policy keep their old value. Of several
-    delta rows for one key the last by `arrival` (all columns, if not given) counts. New rows enter whole.
+    delta rows for one key the last by `arrival` (all columns, if not given) counts. New rows enter whole. With `newer`
+    (columns of both) an existing row only changes if the delta row comes later by them; null is earliest.
     """
     bad = set(policy.values()) - set(POLICIES)
     if bad:
@@ -39,6 +40,10 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], policy: Mappi
         same = F.col(f"_k{i}").eqNullSafe(F.col(f"_n{i}"))
         match = same if match is None else match & same
     both = old.join(incoming, match, "full_outer")
+    kept = F.col("_new").isNull()
+    if newer:
+        at = lambda side: F.struct(*[F.col(side)[c].alias(c) for c in newer])
+        kept = kept | (at("_new") <= at("_old"))
     out = []
     for c in columns:
         o = F.col("_old")[c]
@@ -54,7 +59,7 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], policy: Mappi
             "greatest": F.greatest(n, o),
             "fill_blank": F.when(F.coalesce(o.cast("string"), F.lit("")) == "", n).otherwise(o),
         }[kind]
-        out.append(F.when(F.col("_old").isNull(), n).when(F.col("_new").isNull(), o).otherwise(changed).alias(c))
+        out.append(F.when(F.col("_old").isNull(), n).when(kept, o).otherwise(changed).alias(c))
     return both.select(*out)
 
 

@@ -11,29 +11,35 @@ from skillweave.plans.tables import table
 from skillweave.session import shared_folder
 
 
-def _events(spark, d):
+def _events(spark, d, files):
     schema = table(spark, d, "events").schema
-    return streaming.read_new_files(spark, f"{d}/events.parque[t]", schema), schema  # a pattern may match a file or a folder
+    return streaming.read_new_files(spark, f"{d}/events.parque[t]", schema, files_per_batch=files), schema  # a pattern may match a file or a folder
 
 
-def streamed_latest(spark, d):
-    """The last event of every user, by merging the stream of events into a table."""
-    stream, schema = _events(spark, d)
+def streamed_latest(spark, d, files=100):
+    """The last event of every user, by merging the stream of events into a table; in whatever batches events come."""
+    stream, schema = _events(spark, d, files)
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:8]}"
     held = streaming.VersionedTable(spark, f"{at}/table", schema)
     policy = {c: "overwrite" for c in schema.fieldNames() if c != "user_id"}
-    streaming.merge_stream(stream, held, ["user_id"], policy, f"{at}/checkpoint", lambda: [F.col("ts"), F.col("event_id")]).awaitTermination()
+    streaming.merge_stream(stream, held, ["user_id"], policy, f"{at}/checkpoint", lambda: [F.col("ts"), F.col("event_id")], newer=["ts", "event_id"]).awaitTermination()
     return held.read().select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
-def streamed_windows(spark, d):
-    """Events per hour and type, counted by the stream; the last hour is open until later events close it."""
-    stream, _ = _events(spark, d)
+def streamed_windows(spark, d, files=100):
+    """Events per hour and type, counted by the stream; the last hour is open until later events close it.
+
+    Files may come in any order of time, so there is no watermark: the state has a row per hour and type.
+    """
+    stream, _ = _events(spark, d, files)
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:8]}"
     stamped = stream.withColumn("at", F.col("ts").cast("timestamp"))
-    counted = streaming.windowed_counts(stamped, "at", "event_type", "value", "1 hour", late="0 seconds")
-    counted.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema("window_start timestamp, event_type string, n bigint, total double").parquet(f"{at}/out")
+    counted = streaming.windowed_counts(stamped, "at", "event_type", "value", "1 hour", late=None)
+    held = streaming.VersionedTable(spark, f"{at}/table", "window_start timestamp, event_type string, n bigint, total double, last timestamp")
+    streaming.replace_stream(counted, held, f"{at}/checkpoint").awaitTermination()
+    every = held.read()
+    end = every.agg(F.max("last").alias("end"))
+    found = every.crossJoin(F.broadcast(end)).where(F.col("window_start") + F.expr("interval 1 hour") <= F.col("end"))  # one row
     return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

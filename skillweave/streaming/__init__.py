@@ -56,17 +56,30 @@ class VersionedTable:
         fs.rename(staged, at)
 
 
-def merge_stream(stream: DataFrame, table: VersionedTable, keys: Sequence[str], policy: Mapping[str, str], checkpoint: str, arrival: Callable[[], Sequence[Column]] | None = None) -> StreamingQuery:
-    """Every batch is upserted once: a batch that is delivered again after a failure is recognised by its number."""
+def merge_stream(stream: DataFrame, table: VersionedTable, keys: Sequence[str], policy: Mapping[str, str], checkpoint: str, arrival: Callable[[], Sequence[Column]] | None = None, newer: Sequence[str] | None = None) -> StreamingQuery:
+    """Every batch is upserted once: a batch that is delivered again after a failure is recognised by its number.
+
+    `arrival` orders the rows of one batch; with `newer` a row of a later batch only counts if it comes later by these columns too.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         if number <= table.current()[1]:
             return
-        table.replace(upsert(table.read(), batch, keys, policy, arrival() if arrival else None), number)
+        table.replace(upsert(table.read(), batch, keys, policy, arrival() if arrival else None, newer), number)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def replace_stream(counted: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """The whole result of a streaming aggregation replaces the table after every batch; batches delivered again are skipped."""
+
+    def apply(result: DataFrame, number: int) -> None:
+        if number > table.current()[1]:
+            table.replace(result, number)
+
+    return counted.writeStream.foreachBatch(apply).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def changed_content(stream: DataFrame, key: str, content: str) -> DataFrame:
     """(key, digest, deliveries) of each delivery whose content differs from the key's last one."""
 
@@ -86,11 +99,16 @@ def changed_content(stream: DataFrame, key: str, content: str) -> DataFrame:
     return digested.groupBy("key").applyInPandasWithState(detect, "key string, digest string, deliveries int", "last string, n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def windowed_counts(stream: DataFrame, at: str, group: str, value: str, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """(window_start, group, n, total) by event time; rows later than `late` are dropped by the watermark."""
+def windowed_counts(stream: DataFrame, at: str, group: str, value: str, length: str = "1 hour", slide: str | None = None, late: str | None = "10 minutes") -> DataFrame:
+    """(window_start, group, n, total) by event time; rows later than `late` are dropped by the watermark.
+
+    Without `late` no row is dropped however late it comes, every window stays in the state, and a column `last` has the
+    time of the window's last row; meant for output modes update and complete.
+    """
     window = F.window(at, length, slide) if slide else F.window(at, length)
-    counted = stream.withWatermark(at, late).groupBy(window.alias("w"), group).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-    return counted.select(F.col("w.start").alias("window_start"), group, "n", "total")
+    held, last = (stream.withWatermark(at, late), []) if late else (stream, [F.max(at).alias("last")])
+    counted = held.groupBy(window.alias("w"), group).agg(F.count("*").alias("n"), F.sum(value).alias("total"), *last)
+    return counted.select(F.col("w.start").alias("window_start"), *[c for c in counted.columns if c != "w"])
 
 
 def first_deliveries(stream: DataFrame, keys: Sequence[str], at: str, late: str = "1 day") -> DataFrame:

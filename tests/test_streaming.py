@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 from skillweave import streaming
+from skillweave.plans import streams
 
 SCHEMA = "k string, v string, n int, at timestamp"
 T0 = datetime(2024, 1, 1)
@@ -56,3 +57,17 @@ def test_first_deliveries(spark, tmp_path):
     write(spark, folder, [("a", "x", 1, 1), ("b", "x", 1, 1)], "2")
     run(streaming.first_deliveries(streaming.read_new_files(spark, str(folder), SCHEMA, files_per_batch=1), ["k", "v"], "at"), "firsts", tmp_path / "cp")
     assert sorted(r.k for r in spark.table("firsts").collect()) == ["a", "b"]
+
+
+def test_queries_over_files_out_of_time_order(spark, tmp_path):
+    """Newest file first, each file over all hours, a file a batch: the same as over the whole table."""
+    events = [(i, i % 3, T0 + timedelta(minutes=i), "ab"[i % 2], float(i)) for i in range(240)]
+    schema = "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double"
+    for n in (4, 3, 2, 1, 0):
+        spark.createDataFrame([e for e in events if e[0] % 5 == n], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    found = streams.streamed_latest(spark, str(tmp_path), files=1)
+    assert sorted((r.user_id, r.event_id) for r in found.collect()) == [(0, 237), (1, 238), (2, 239)]
+    found = streams.streamed_windows(spark, str(tmp_path), files=1)
+    assert sorted((r.window_start.hour, r.event_type, r.n) for r in found.collect()) == [(h, t, 30) for h in range(3) for t in "ab"]
+    total = {(r.window_start.hour, r.event_type): r.total for r in found.collect()}
+    assert total[0, "a"] == sum(range(0, 60, 2))
