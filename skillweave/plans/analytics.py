@@ -147,6 +147,23 @@ def statement_clusters(spark, d):
     return found.where("cluster >= 0")
 
 
+def statement_members(spark, d):
+    """Every record with a statement: the id that stands for its text in the pairs, the records of that text, near texts, class.
+
+    The other statement queries name texts by their smallest id; this is their membership. The class is the density
+    cluster of the text, else that id if several records hold the text, else -1.
+    """
+    rows = table(spark, d, "rsd_skill_records").where(tx.has_text(_s())).select("id", "skill_statement")
+    texts = rows.groupBy("skill_statement").agg(F.min("id").alias("representative"), F.count("*").alias("n_copies"))
+    pairs = materialise(similar_statements(spark, d), "pairs")  # read twice
+    near = pairs.where(F.col("sim") >= NEAR)
+    near = near.select("a").union(near.select("b")).groupBy("a").agg(F.count("*").alias("n_near"))
+    found = clusters.density_clusters(texts.select(F.col("representative").alias("id")), "id", pairs).where("cluster >= 0")
+    known = texts.join(near, F.col("representative") == near.a, "left").join(found.withColumnRenamed("id", "k"), F.col("representative") == F.col("k"), "left")
+    of_text = F.coalesce("cluster", F.when(F.col("n_copies") > 1, F.col("representative")), F.lit(-1)).alias("cluster")
+    return rows.join(known.select("skill_statement", "representative", "n_copies", F.coalesce("n_near", F.lit(0)).alias("n_near"), of_text), "skill_statement").drop("skill_statement")
+
+
 def task_matches(spark, d):
     """For every statement the up to three unit titles of cosine 0.25 or more."""
     titles = table(spark, d, "uoc_registry").where(tx.has_text(F.col("uoc_title"))).select("uoc_code", "uoc_title")
@@ -285,7 +302,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         domain_summary, element_summary, verb_counts, domain_distribution, package_redundancy, transferability, complexity_histogram, unit_profiles, similar_units, unit_reach, header_metrics,
-        first_statements, package_labels, term_weights, similar_statements, statement_duplicates, statement_clusters, task_matches, occupation_pairs, career_pathways, group_bridges, skill_gap,
+        first_statements, package_labels, term_weights, similar_statements, statement_duplicates, statement_clusters, statement_members, task_matches, occupation_pairs, career_pathways, group_bridges, skill_gap,
         vector_pairs, vector_uniqueness, label_similarity, nearest_vectors, vector_redundancy, vector_clusters, vector_degrees, edge_list, canonical_vectors, vector_kmeans, vector_projection,
         vector_spectrum, domain_names, order_revenue,
     )
@@ -337,6 +354,10 @@ ORACLE = {
     "similar_statements": _PAIRS + " SELECT a, b, round(sim, 6) sim FROM p",
     "statement_duplicates": _PAIRS + ", n AS (SELECT a, b FROM p WHERE round(sim, 6) >= 0.92) SELECT id, count(*) n_near FROM (SELECT a id FROM n UNION ALL SELECT b FROM n) GROUP BY 1",
     "statement_clusters": _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + _COMPONENT + " SELECT n id, cluster FROM c",
+    "statement_members": _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + _COMPONENT + """, m AS (SELECT a, b FROM p WHERE round(sim, 6) >= 0.92), k AS (SELECT id, count(*) n_near FROM (SELECT a id FROM m UNION ALL SELECT b FROM m) GROUP BY 1),
+  g AS (SELECT skill_statement, min(id) representative, count(*) n_copies FROM rsd_skill_records WHERE skill_statement <> '' GROUP BY 1)
+  SELECT s.id, g.representative, g.n_copies, coalesce(k.n_near, 0) n_near, coalesce(c.cluster, CASE WHEN g.n_copies > 1 THEN g.representative ELSE -1 END) cluster
+  FROM rsd_skill_records s JOIN g USING (skill_statement) LEFT JOIN k ON k.id = g.representative LEFT JOIN c ON c.n = g.representative""",
     "task_matches": "WITH " + _weights("SELECT uoc_code, uoc_title FROM uoc_registry WHERE uoc_title <> ''", "uoc_code", "uoc_title") + f""", q1 AS (SELECT id, unnest({_TERMS("skill_statement")}) term FROM rsd_skill_records WHERE skill_statement <> ''),
   q2 AS (SELECT id, term, count(*) tf FROM q1 GROUP BY ALL), q3 AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1) r FROM q2 JOIN dfs USING (term)), q4 AS (SELECT id, term, r / sqrt(sum(r * r) OVER (PARTITION BY id)) wq FROM q3),
   s AS (SELECT id, uoc_code, sum(wq * weight) sim FROM q4 JOIN w USING (term) GROUP BY 1, 2 HAVING sum(wq * weight) >= 0.25), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, uoc_code) "rank" FROM s)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillweave.operators import clusters, similarity
+from skillweave.plans import analytics
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +65,15 @@ def test_cosine_pairs_of_terms(spark):
     assert len(best) == len(rows)
 
 
+def test_every_record_is_a_member(spark, tmp_path):
+    """Copies of a text share its class and count; copies without a near text are a class of their own."""
+    near = "grind polish repair inspect measure mount align balance lubricate wheel"
+    texts = [near, "sew canvas sails", near + " wheel", "sew canvas sails", near, "bake bread", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "id bigint, skill_statement string").coalesce(1).write.parquet(str(tmp_path / "rsd_skill_records.parquet"))
+    found = {r.id: (r.representative, r.n_copies, r.n_near, r.cluster) for r in analytics.statement_members(spark, str(tmp_path)).collect()}
+    assert found == {0: (0, 2, 1, 0), 1: (1, 2, 0, 1), 2: (2, 1, 1, 0), 3: (1, 2, 0, 1), 4: (0, 2, 1, 0), 5: (5, 1, 0, -1)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(40)]
