@@ -150,7 +150,7 @@ def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _atoms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Atoms with a delimiter inside, counted per batch."""
+    """Atoms with a delimiter inside, with their parts, counted per batch."""
     for batch in batches:
         seen: Counter = Counter()
         for _, _, field, text in _columns(batch):
@@ -159,8 +159,8 @@ def _atoms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if value is not None and _CUT.search(value) and 2 <= len(parts_of(value)) <= MAX_PARTS:
                         seen[field, value] += 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
-            names=["field", "value", "n"],
+            [*(pa.array([k[x] for k in seen], pa.string()) for x in (0, 1)), pa.array(["\x1f".join(parts_of(k[1])) for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
+            names=["field", "value", "words", "n"],
         )
 
 
@@ -172,6 +172,14 @@ def _index(attested: list) -> dict:
     return {k: sorted(set(v)) for k, v in known.items()}
 
 
+def _seeds(attested: list) -> dict:
+    """How often values of the same parts stand as atoms, by (field, parts)."""
+    seeds: Counter = Counter()
+    for row in attested:
+        seeds[row.field, parts_of(row.value)] += float(row.n)
+    return dict(seeds)
+
+
 def _counting(shared):
     """E-step over a partition: expected counts of the values and parts that matter, and of cuts."""
 
@@ -240,29 +248,33 @@ def _in_use(shared):
     return look
 
 
-def _attested_in_use(text: DataFrame, atoms: DataFrame, total: int) -> list:
-    """Attested values that also stand unquoted somewhere, looked for in blocks of BLOCK values."""
-    spark, blocks, found = text.sparkSession, -(-total // BLOCK), []
+def _attested_in_use(text: DataFrame, atoms: DataFrame, total: int) -> tuple[list, dict]:
+    """Attested values that also stand unquoted somewhere, with their `_seeds`, looked for in blocks of BLOCK values."""
+    spark, blocks, found, weight = text.sparkSession, -(-total // BLOCK), [], {}
     for b in range(blocks):
-        block = atoms.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == b).collect()
+        block = atoms.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()  # all spellings of the same parts
         shared = spark.sparkContext.broadcast(_index(block))
-        found += text.mapInArrow(_in_use(shared), "field string, value string").distinct().collect()
-    return found
+        used, seeds = text.mapInArrow(_in_use(shared), "field string, value string").distinct().collect(), _seeds(block)
+        weight |= {(row.field, t): seeds[row.field, t] for row in used for t in (parts_of(row.value),)}
+        found += used
+    return found, weight
 
 
 def learn(text: DataFrame) -> tuple[dict, dict, dict]:
     """(attested values by first part, frequencies, share of cuts by delimiter) of all fields in `text`."""
     spark = text.sparkSession
-    atoms = text.mapInArrow(_atoms, "field string, value string, n bigint").groupBy("field", "value").agg(F.sum("n").alias("n"))
+    atoms = text.mapInArrow(_atoms, "field string, value string, words string, n bigint").groupBy("field", "value", "words").agg(F.sum("n").alias("n"))
     atoms = materialise(atoms, "atoms")
     total = atoms.count()
-    known = _index(atoms.collect() if total <= BLOCK else _attested_in_use(text, atoms, total))
-    weight: dict = {}
+    if total <= BLOCK:
+        attested = atoms.collect()
+        weight = _seeds(attested)
+    else:
+        attested, weight = _attested_in_use(text, atoms, total)
+    known = _index(attested)
     cuts: dict = {}
     if not known:
         return known, weight, cuts
-    for row in atoms.collect() if total <= BLOCK else ():
-        weight[row.field, parts_of(row.value)] = float(row.n)
     for (field, _), ts in known.items():
         for t, _ in ts:
             for p in t:

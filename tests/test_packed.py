@@ -90,3 +90,15 @@ def test_same_text_in_other_partitions(spark, rows):
     df = spark.createDataFrame([(i, f'"a, {i % 5}"; b', 1, "", "") for i in range(60)], SCHEMA)
     one = rows(packed.unpack([packed.cells(df.coalesce(1), "t", "id", "text")]))
     assert one == rows(packed.unpack([packed.cells(df.repartition(7), "t", "id", "text")]))
+
+
+def test_blocks_give_the_same_rows(spark, monkeypatch):
+    """Values start from their counted frequencies, however many blocks they are carried in."""
+    texts = ['"sail loft, aft"|rope'] * 30 + ['"cold room; east"', '"cold room, east"', "cold room, east|x", "rope|sail loft, aft|winch"] + ["sail loft; rope", "aft; rope"] * 12
+    whole, start = unpack(spark, texts), {}
+    counting = packed._counting
+    monkeypatch.setattr(packed, "_counting", lambda shared: start.setdefault(packed.BLOCK, dict(shared.value[1])) and None or counting(shared))
+    for block in (packed.BLOCK, 1):
+        monkeypatch.setattr(packed, "BLOCK", block)
+        assert unpack(spark, texts) == whole
+    assert len(start) == 2 and len(set(map(str, (sorted(s.items()) for s in start.values())))) == 1
