@@ -25,7 +25,6 @@ from skillweave.session import materialise
 #: Characters that may separate values. Fixed values.
 DELIMITERS = ",;|•\t\r\n"
 ITERATIONS = 2
-MAX_PARTS = 4
 #: Attested values that one pass carries; more are taken in blocks (see `_attested_in_use`).
 BLOCK = 500_000
 
@@ -156,7 +155,7 @@ def _atoms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, field, text in _columns(batch):
             if _QUOTE.search(text):
                 for _, _, value in lex(text):
-                    if value is not None and _CUT.search(value) and 2 <= len(parts_of(value)) <= MAX_PARTS:
+                    if value is not None and _CUT.search(value) and len(parts_of(value)) >= 2:
                         seen[field, value] += 1
         yield pa.RecordBatch.from_arrays(
             [*(pa.array([k[x] for k in seen], pa.string()) for x in (0, 1)), pa.array(["\x1f".join(parts_of(k[1])) for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],

@@ -102,3 +102,10 @@ def test_blocks_give_the_same_rows(spark, monkeypatch):
         monkeypatch.setattr(packed, "BLOCK", block)
         assert unpack(spark, texts) == whole
     assert len(start) == 2 and len(set(map(str, (sorted(s.items()) for s in start.values())))) == 1
+
+
+@pytest.mark.parametrize("size", [5, 40, 400])
+def test_values_of_many_parts(spark, size):
+    long = ", ".join(f"part {i}" for i in range(size))
+    texts = [f'"{long}"|rope'] * 30 + [f"rope|{long}|winch"] + ["rope, winch"] * 5
+    assert unpack(spark, texts)[30] == ["rope", long, "winch"]
