@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,17 +86,31 @@ def shortened(short: str, word: str) -> bool:
     return all(c in letters for c in short)
 
 
+class Lexicon:
+    """Words and n-gram counts of a whole reference list, added block by block."""
+
+    def __init__(self):
+        self.entries, self.df, self.vocabulary = 0, Counter(), set()
+
+    def add(self, titles: list[str]) -> Lexicon:
+        for words in map(normal, titles):
+            self.entries += 1
+            self.df.update({g for w in words for g in grams(w)})
+            self.vocabulary.update(words)
+        return self
+
+
 class Reference:
-    """Inverted n-gram index of a reference list."""
+    """Inverted n-gram index of a reference list, or of a block of it with the lexicon of the whole list."""
 
-    def __init__(self, entries: list[tuple[str, str]]):
+    def __init__(self, entries: list[tuple[str, str]], lexicon: Lexicon | None = None):
+        lexicon = lexicon or Lexicon().add([t for _, t in entries])
         self.codes = [c for c, _ in entries]
         self.words = [tuple(normal(t)) for _, t in entries]
-        self.vocabulary = {w for ws in self.words for w in ws}
+        self.vocabulary = lexicon.vocabulary
         counts = [Counter(g for w in ws for g in grams(w)) for ws in self.words]
-        df = Counter(g for c in counts for g in c)
-        self.idf = {g: math.log(1 + len(entries) / n) for g, n in df.items()}
-        self.rarest = math.log(1 + len(entries))
+        self.idf = {g: math.log(1 + lexicon.entries / n) for g, n in lexicon.df.items()}
+        self.rarest = math.log(1 + lexicon.entries)
         posting: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, c in enumerate(counts):
             norm = math.sqrt(sum((n * self.idf[g]) ** 2 for g, n in c.items())) or 1.0
@@ -173,18 +188,28 @@ class Reference:
                 extra += 1
         return found, quality, extra
 
-    def best(self, text: str) -> list[tuple[int, float, str]]:
-        """Up to two (entry words missing, quality, code), best first."""
-        ranked: dict[str, tuple[int, float]] = {}
+    def scores(self, text: str) -> list[tuple[list[str], np.ndarray]]:
+        """(words, cosines) of the whole text and of what stands before its first break."""
         words = self.apart(normal(text))
         head = self.apart(normal(_HEAD.split(text.strip(), maxsplit=1)[0]))
-        for tried, whole in ((words, True), (head, False)):
-            if not tried or (not whole and tried == words):
-                continue
-            score = self.cosines([w for w in tried if w not in QUALIFIERS or w in self.vocabulary])
+        out = []
+        for tried in (words, [] if head == words else head):
+            out.append((tried, self.cosines([w for w in tried if w not in QUALIFIERS or w in self.vocabulary]) if tried else np.zeros(0)))
+        return out
+
+    def tops(self, text: str) -> tuple[float, float]:
+        """The highest cosine of the whole text and of its head."""
+        whole, head = (float(score.max()) if len(score) else 0.0 for _, score in self.scores(text))
+        return whole, head
+
+    def best(self, text: str, tops: tuple[float, float] | None = None) -> list[tuple[int, float, str]]:
+        """Up to two (entry words missing, quality, code), best first; `tops` are those of the whole list, if this is a block."""
+        ranked: dict[str, tuple[int, float]] = {}
+        for n, (tried, score) in enumerate(self.scores(text)):
             if not len(score) or score.max() < THRESHOLD:
                 continue
-            for i in np.flatnonzero(score >= max(THRESHOLD, score.max() - WINDOW)).tolist():
+            top = tops[n] if tops else score.max()
+            for i in np.flatnonzero(score >= max(THRESHOLD, top - WINDOW)).tolist():
                 found, quality, extra = self.check(tried, self.words[i])
                 size = len(self.words[i])
                 if found == size or (found >= 2 and found == size - 1 and not extra):
@@ -198,7 +223,8 @@ def _mapping(shared):
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference: Reference = shared.value
         for batch in batches:
-            found = [(v, *hit) for v in batch.column("value").to_pylist() for hit in reference.best(v)]
+            given = batch.column("tops").to_pylist() if "tops" in batch.schema.names else [None] * batch.num_rows
+            found = [(v, *hit) for v, tops in zip(batch.column("value").to_pylist(), given, strict=True) for hit in reference.best(v, tops)]
             columns = list(zip(*found, strict=True)) or [(), (), (), ()]
             kinds = (pa.string(), pa.int64(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["value", "missing", "quality", "code"])
@@ -206,6 +232,16 @@ def _mapping(shared):
     return look
 
 
+def _topping(shared):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reference: Reference = shared.value
+        for batch in batches:
+            found = [reference.tops(v) for v in batch.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("value"), *(pa.array([t[n] for t in found], pa.float64()) for n in (0, 1))], names=["value", "whole", "head"])
+
+    return look
+
+
 def is_entry(value) -> F.Column:
     """Whether a text holds an entry: not null, blank or a mark for no value."""
     plain = F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", " "))
@@ -216,7 +252,8 @@ def map_values(rows: DataFrame, reference: DataFrame, *, row_id: str, value: str
     """(row_id, value, code) of every row that holds an entry; code is '' where the list holds nothing like it.
 
     Rows are joined to the decisions on their distinct values, so a value that a third of the rows share is matched once.
-    The reference list is sent to the executors in blocks of LIST_BLOCK entries; the best of all blocks counts.
+    The reference list is sent to the executors in blocks of LIST_BLOCK entries. Weights, vocabulary and the highest
+    cosine of a value are those of the whole list, so the blocks don't change what is found; the best of all counts.
     Null, blank and no-value rows give no row; entries without title are ignored; two entries of equal fit are a tie,
     which is no match; repeated rows each give one; texts of any length are used whole; an empty list matches nothing.
     """
@@ -226,15 +263,21 @@ def map_values(rows: DataFrame, reference: DataFrame, *, row_id: str, value: str
     values = held.select("value").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     entries = reference.where(F.col(title).isNotNull() & F.col(code).isNotNull()).select(F.col(code).cast("string").alias("c"), F.col(title).alias("t"))
     blocks = max(1, -(-entries.count() // LIST_BLOCK))
-    hits = None
+    lexicon, held_blocks = Lexicon(), []
+    block_of = lambda b: [(r.c, r.t) for r in entries.where(F.pmod(F.xxhash64("c", "t"), F.lit(blocks)) == b).orderBy("c", "t").collect()]
+    if blocks > 1:
+        for b in range(blocks):
+            lexicon.add([t for _, t in block_of(b)])
     for b in range(blocks):
-        block = entries.where(F.pmod(F.xxhash64("c", "t"), F.lit(blocks)) == b).orderBy("c", "t").collect()
-        shared = spark.sparkContext.broadcast(Reference([(r.c, r.t) for r in block]))
-        part = values.mapInArrow(_mapping(shared), "value string, missing bigint, quality double, code string")
-        hits = part if hits is None else hits.unionByName(part)
+        held_blocks.append(spark.sparkContext.broadcast(Reference(block_of(b), lexicon if blocks > 1 else None)))
+    if blocks > 1:  # which candidates lie near enough to the best one depends on all blocks
+        tops = reduce(DataFrame.unionByName, [values.mapInArrow(_topping(shared), "value string, whole double, head double") for shared in held_blocks])
+        values = materialise(tops.groupBy("value").agg(F.array(F.max("whole"), F.max("head")).alias("tops")), "tops")
+    hits = reduce(DataFrame.unionByName, [values.mapInArrow(_mapping(shared), "value string, missing bigint, quality double, code string") for shared in held_blocks])
     # At most two rows a value and block meet here.
     ranked = hits.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("missing", (-F.col("quality")).alias("worst"), "code"))).alias("hits"))
-    one, two = F.element_at("hits", 1), F.try_element_at("hits", F.lit(2))
+    one = F.element_at("hits", 1)
+    two = F.try_element_at(F.filter("hits", lambda h: h["code"] != one["code"]), F.lit(1))  # titles of one code may lie in several blocks
     clear = two.isNull() | (two["missing"] > one["missing"]) | (two["worst"] - one["worst"] >= MARGIN)
     decided = materialise(ranked.select("value", F.when(clear, one["code"]).otherwise("").alias("code")), "decided")
     # A value that very many rows share would meet its decision in one task; the few such decisions are broadcast.

@@ -67,3 +67,14 @@ def test_empty(find):
 
 def test_ties_are_no_match(find):
     assert find(["Linen Finishing Surveyor"], [("5", "Linen Finishing Surveyor"), ("8", "Linen Finishing Surveyor")]) == {0: ""}
+
+
+def test_blocks_share_weights_and_words(find, monkeypatch):
+    """A word of another block isn't a misspelling, and titles of one code are no tie, wherever the list is cut."""
+    listed = LIST + [("8", "Sailor Painting Officer"), ("9", "Tailor Mending Clerk"), ("10", "Copper Smelting Porter"), ("10", "Copper Smelting Porters")]
+    values = ["Sailor Mending Clerk", "Tailor Mending Clerk", "Taylor Mending Clerk", "Copper Smelting Porter", "Copper Porter", *CASES]
+    whole = find(values, listed)
+    assert [whole[i] for i in range(5)] == ["", "9", "9", "10", "10"]
+    for size in (1, 2, 4):
+        monkeypatch.setattr(mapping, "LIST_BLOCK", size)
+        assert find(values, listed) == whole
