@@ -1,7 +1,8 @@
 """Defects of prompt-response pairs: empty, refusal, copy, language, truncated.
 
 Copies: a response is compressed with its prompt as zstandard dictionary. One that is nothing but material of the
-prompt costs little more than the frame and a few references. Refusals and languages are told by dictionaries.
+prompt costs little more than the frame and a few references. Refusals and languages are told by dictionaries; a
+language without one by having few English function words and hardly a word that is frequent in the English responses.
 Truncation: a terminal-context model, counted over all responses, has how often each pair of words ends a response and
 how often it goes on; a response that stops without a final mark in a pair that hardly ever ends one breaks off.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 import zstandard
@@ -28,6 +29,9 @@ COPY_SHARE, COPY_BYTES = 0.10, 100
 WITHOUT_SHARE = 0.35
 #: Share of ends below which a pair of words doesn't end a response.
 END_SHARE = 0.25
+#: Words from which on a text without a known language is judged, the share of English function words above which it is
+#: English, the share of its other words that English responses must know, and how many of their words are carried.
+FOREIGN_WORDS, ENGLISH_SHARE, KNOWN_SHARE, VOCABULARY = 6, 0.25, 0.2, 20_000
 
 # Fillers (letters only) and texts of failures.
 FILLERS = frozenset(
@@ -84,6 +88,7 @@ _FUNCTION = {lang: frozenset(words.split()) for lang, words in LANGUAGES.items()
 #: A word that every way of declining contains; spares the long pattern on most texts.
 _CUE = re.compile(r"\b(?:i|we|my|our|me|sincere|ai|artificial|language|virtual|digital|automated|against|falls?|will not|no|not|unfortunately|regrettably|sadly|sorry)\b", re.I)
 _SPACE = re.compile(r"[\s​‌‍﻿­]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _FINAL = re.compile(r"(?:(?<!\.\.)[.!?]|[。！？؟।])[\s\"”’')\]»]*$")
 _CLOSE = re.compile(r"[\s\"”’')\]»]+$")
@@ -102,17 +107,22 @@ def is_refusal(text: str) -> bool:
     return bool(_CUE.search(plain) and _REFUSAL.search(plain))
 
 
-def is_foreign(text: str) -> bool:
-    """Not English, by script and function words."""
+def is_foreign(text: str, frequent: Set[str] = frozenset()) -> bool:
+    """Not English, by script and function words, or by words beside those of which hardly any is `frequent` in English."""
     letters = [c for c in text if c.isalpha()]
     if not letters:
         return False
     if sum(c > "ɏ" for c in letters) > 0.3 * len(letters):
         return True
-    words = [w for w in re.findall(r"[^\W\d_]+", text.lower())]
+    words = _LETTERS.findall(text.lower())
     hits = {lang: sum(w in f for w in words) for lang, f in _FUNCTION.items()}
     other = max(n for lang, n in hits.items() if lang != "en")
-    return other >= 2 and other > 1.5 * hits["en"]
+    if other >= 2 and other > 1.5 * hits["en"]:
+        return True
+    if not frequent or len(words) < FOREIGN_WORDS or hits["en"] > ENGLISH_SHARE * len(words):
+        return False
+    rest = [w for w in words if w not in _FUNCTION["en"]]
+    return sum(w in frequent for w in rest) < KNOWN_SHARE * len(rest)
 
 
 def copy_cost(prompt: str, response: str) -> tuple[int, int]:
@@ -135,7 +145,7 @@ def last_pair(text: str) -> tuple[str, bool]:
     return " ".join(words), bool(_FINAL.search(text))
 
 
-def judge(prompt: str | None, response: str | None) -> tuple[str | None, str | None]:
+def judge(prompt: str | None, response: str | None, frequent: Set[str] = frozenset()) -> tuple[str | None, str | None]:
     """(defect, pair to look up): a defect that the pair alone shows, else the word pair in which an unfinished text stops.
 
     'copy?' stands for a short text that is a copy unless it breaks off.
@@ -150,21 +160,36 @@ def judge(prompt: str | None, response: str | None) -> tuple[str | None, str | N
         if cost <= 1 or size >= COPY_BYTES or final:
             return "copy", None
         return "copy?", pair
-    if is_foreign(response):
+    if is_foreign(response, frequent):
         return "language", None
     return None, None if final else pair
 
 
-def _judging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judging(shared):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for batch in batches:
+            ids, labels, pairs = [], [], []
+            for i, p, r in zip(*(batch.column(c).to_pylist() for c in ("record_id", "prompt", "response")), strict=True):
+                label, pair = judge(p, r, frequent)
+                if label or pair is not None:
+                    ids.append(i)
+                    labels.append(label)
+                    pairs.append(pair)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(pairs, pa.string())], names=["record_id", "label", "pair"])
+
+    return look
+
+
+def _english(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of responses that hold English function words enough, with the number of those responses, summed per batch."""
     for batch in batches:
-        ids, labels, pairs = [], [], []
-        for i, p, r in zip(*(batch.column(c).to_pylist() for c in ("record_id", "prompt", "response")), strict=True):
-            label, pair = judge(p, r)
-            if label or pair is not None:
-                ids.append(i)
-                labels.append(label)
-                pairs.append(pair)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(pairs, pa.string())], names=["record_id", "label", "pair"])
+        held: Counter = Counter()
+        for text in batch.column("response").to_pylist():
+            words = _LETTERS.findall(text.lower())
+            if sum(w in _FUNCTION["en"] for w in words) > ENGLISH_SHARE * len(words) and not is_foreign(text):
+                held.update(set(words))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +209,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def broken_pairs(rows: DataFrame, *, record_id: str, prompt: str, response: str) -> DataFrame:
     """(record_id, defect) of every row whose response is no proper answer to its prompt; one defect a row.
 
-    Null or blank responses are empty; a null prompt can't be copied; texts of any length are judged whole; repeated
+    Null or blank responses are empty; a null prompt can't be copied; a language without a dictionary is told from six
+    words on, if there are English responses; texts of any length are judged whole; repeated
     rows each count (and weigh in the model); an empty table gives no rows; other columns are not looked at.
     """
     pairs = rows.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(prompt).alias("prompt"), F.col(response).alias("response"))
-    judged = pairs.mapInArrow(_judging, "record_id bigint, label string, pair string")
+    responses = pairs.select("response").where(F.col("response").isNotNull())
+    words = responses.mapInArrow(_english, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = frozenset(r.word for r in words.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect())
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    judged = pairs.mapInArrow(_judging(shared), "record_id bigint, label string, pair string")
     model = (
-        rows.select(F.col(response).alias("response")).where(F.col("response").isNotNull())
-        .mapInArrow(_contexts, "pair string, ends bigint, goes bigint")
+        responses.mapInArrow(_contexts, "pair string, ends bigint, goes bigint")
         .groupBy("pair").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
     )
     ends = F.coalesce(F.col("ends") / F.nullif(F.col("ends") + F.col("goes"), F.lit(0)), F.lit(0.0))

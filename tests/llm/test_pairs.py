@@ -45,3 +45,15 @@ def test_long_and_repeated(spark):
 @pytest.mark.parametrize("text,final", [("a.", True), ("a...", False), ("a…", False), ('a."', True), ("a", False), ("a。", True), ("a?)", True)])
 def test_final_marks(text, final):
     assert pairs.last_pair(text)[1] is final
+
+
+def test_languages_without_a_dictionary(spark):
+    foreign = [
+        "Puhdistaa suodattimet ja säiliöt ennen jokaista työvuoroa laadun ylläpitämiseksi.",
+        "Vyčistit filtry a nádrže před každou směnou, aby byla zachována kvalita výrobků.",
+        "A szűrők és a tartályok tisztítása minden műszak előtt a minőség megőrzése érdekében.",
+        "Curățarea filtrelor și rezervoarelor înainte de fiecare schimb pentru menținerea calității produselor.",
+    ]
+    terse = "Sort mast, clean cleat, test fender, load galley, build client trust, keep people safe."
+    values = [(PROMPT, r) for r in [*foreign, terse]] + [(PROMPT, g) for g in GOOD]
+    assert run(spark, values) == dict.fromkeys(range(len(foreign)), "language")
