@@ -84,7 +84,7 @@ def degrees(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     )
 
 
-def kmeans(vectors: DataFrame, key: str, vector: str, k: int, starts: int = 3, seed: int = 42) -> DataFrame:
+def kmeans(vectors: DataFrame, key: str, vector: str, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
     """(key, cluster): k-means with several starts, the cheapest kept; k is bounded by the number of rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

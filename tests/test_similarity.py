@@ -120,3 +120,12 @@ def test_spectrum_and_kmeans(vectors):
 def test_shared_sets(spark):
     rows = spark.createDataFrame([("x", 1), ("x", 2), ("y", 2), ("y", 3), ("z", 9)], "g string, i int")
     assert {tuple(r) for r in similarity.shared_sets(rows, "g", "i", ["x"], ["y"]).collect()} == {(1, "only_a"), (2, "both"), (3, "only_b")}
+
+
+def test_kmeans_keeps_the_best_of_ten_starts(vectors, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    fit, costs = KMeans.fit, []
+    monkeypatch.setattr(KMeans, "fit", lambda self, data: costs.append(fit(self, data)) or costs[-1])
+    clusters.kmeans(vectors[0], "id", "v", 3)
+    assert len({m.getSeed() for m in costs}) == 10
