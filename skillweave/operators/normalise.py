@@ -11,7 +11,7 @@ from skillweave.functions import text as tx
 
 #: Least score at which an extractor is taken.
 LEAST_SCORE = 0.1
-#: Rows from which the format of a table is told.
+#: Values of each column from which the format of a table is told.
 SAMPLE = 20
 
 UNIT_CODE = ("uoc_code", "uoccode", "unit_code", "code", "aqf_code")
@@ -87,6 +87,15 @@ def group_criteria(rows: DataFrame, keys: Sequence[str], title: str | None, crit
     return grouped.where(F.size("_items") > 0).withColumn("pcs_text", F.array_join(F.transform("_items", lambda x: x.t), "\n")).drop("_items")
 
 
+def first_values(rows: DataFrame) -> list[dict]:
+    """The first SAMPLE values of every column that aren't null, set side by side as rows; none for an empty table."""
+    placed = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    if placed.isEmpty():
+        return []
+    held = [[r[0] for r in placed.select(c).where(F.col(c).isNotNull()).limit(SAMPLE).collect()] for c in placed.columns]
+    return [dict(zip(rows.columns, (v[i] if i < len(v) else None for v in held), strict=True)) for i in range(max(1, *map(len, held)))]
+
+
 class BlobExtractor:
     """Tables with one text column that holds elements and criteria."""
 
@@ -108,7 +117,7 @@ class BlobExtractor:
         return min(1.0, self.blob_column(sample)[1] / 10)
 
     def extract(self, rows: DataFrame) -> DataFrame:
-        blob = self.blob_column([r.asDict() for r in rows.limit(SAMPLE).collect()])[0]
+        blob = self.blob_column(first_values(rows))[0]
         if blob is None:
             raise ValueError("no column holds numbered elements and criteria")
         picked = {n: find_column(rows.columns, c) for n, c in (("unit_code", UNIT_CODE), ("unit_title", UNIT_TITLE), ("tp_code", PACKAGE_CODE), ("tp_title", PACKAGE_TITLE))}
@@ -143,7 +152,7 @@ class RowPerCriterionExtractor:
         element = find_column(rows.columns, ELEMENT)
         if element is None:
             raise ValueError("no column holds element titles")
-        criterion = self.criterion_column([r.asDict() for r in rows.limit(SAMPLE).collect()])
+        criterion = self.criterion_column(first_values(rows))
         code, title = find_column(rows.columns, UNIT_CODE), find_column(rows.columns, UNIT_TITLE)
         as_text = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit("")
         flat = rows.select(as_text(code).alias("unit_code"), as_text(title).alias("unit_title"), as_text(element).alias("element_title"), as_text(criterion).alias("_pc"), F.monotonically_increasing_id().alias("_order"))
@@ -161,7 +170,7 @@ class Registry:
         """(unit/element/criteria rows, extractor, scores). The scores are None if the extractor was forced."""
         if forced is not None:
             return self.extractors[forced].extract(rows), forced, None
-        sample = [r.asDict() for r in rows.limit(SAMPLE).collect()]
+        sample = first_values(rows)
         scores = {n: e.score(sample) for n, e in self.extractors.items()}
         best = max(scores, key=scores.get)
         if scores[best] < LEAST_SCORE:
