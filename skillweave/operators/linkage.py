@@ -86,11 +86,13 @@ def current_primary(links: DataFrame) -> DataFrame:
 
 
 def coverage(units: DataFrame, links: DataFrame) -> DataFrame:
-    """One row on how far the links reach."""
+    """One row on how far the links reach; the mean is summed in thousandths, so its rounding doesn't depend on the order."""
     joined = units.select("uoc_code").join(links.select("uoc_code", "anzsco_code", "confidence"), "uoc_code", "left")
     linked = F.col("anzsco_code").isNotNull()
-    return joined.agg(
+    summed = joined.agg(
         F.count_distinct("uoc_code").alias("n_units"), F.count_distinct(F.when(linked, F.col("uoc_code"))).alias("n_linked"),
         F.count_distinct(F.when(F.col("confidence") >= STRONG, F.col("uoc_code"))).alias("n_strong"),
-        F.count_distinct("anzsco_code").alias("n_occupations"), F.round(F.avg(F.col("confidence").cast("double")), 3).alias("mean_confidence"),
+        F.count_distinct("anzsco_code").alias("n_occupations"), F.sum((F.col("confidence") * 1000).cast("bigint")).alias("_s"), F.count("confidence").alias("_n"),
     )
+    mean = F.when(F.col("_n") > 0, F.expr("(2 * _s + _n) div (2 * _n)").cast("double") / 1000)  # half up
+    return summed.withColumn("mean_confidence", mean).drop("_s", "_n")

@@ -224,7 +224,7 @@ ORACLE = {
     "linkage_primary": _CANDIDATES + """, r AS (SELECT *, row_number() OVER (PARTITION BY uoc_code ORDER BY confidence DESC, anzsco_code, source_qual_code) rn, max(confidence) OVER (PARTITION BY uoc_code) mx FROM b),
   t AS (SELECT *, sum((confidence = mx)::INT) OVER (PARTITION BY uoc_code) ties FROM r) SELECT uoc_code, anzsco_code, confidence, ties::BIGINT ties FROM t WHERE rn = 1""",
     "linkage_coverage": _CANDIDATES + """SELECT count(DISTINCT u.uoc_code) n_units, count(DISTINCT CASE WHEN b.anzsco_code IS NOT NULL THEN u.uoc_code END) n_linked, count(DISTINCT CASE WHEN confidence >= 0.7 THEN u.uoc_code END) n_strong,
-  count(DISTINCT b.anzsco_code) n_occupations, round(avg(confidence::DOUBLE), 3) mean_confidence FROM uoc_registry u LEFT JOIN b ON b.uoc_code = u.uoc_code""",
+  count(DISTINCT b.anzsco_code) n_occupations, ((2 * sum((confidence * 1000)::BIGINT) + count(confidence)) // (2 * count(confidence)))::DOUBLE / 1000 mean_confidence FROM uoc_registry u LEFT JOIN b ON b.uoc_code = u.uoc_code""",
     "load_skills": f"WITH {PRIMARY_SQL} SELECT s.id, unit_code, tp_code, anzsco_code, anzsco_title, confidence FROM rsd_skill_records s LEFT JOIN pl ON pl.uoc_code = s.unit_code WHERE skill_statement <> ''",
     "occupation_skills": f"""WITH {PRIMARY_SQL} SELECT anzsco_code, min(anzsco_title) anzsco_title, min(anzsco_major_group) major_group, count(DISTINCT uoc_code) n_units, count(*) n_skills, count(DISTINCT tp_code) n_packages
   FROM pl JOIN rsd_skill_records s ON pl.uoc_code = s.unit_code WHERE skill_statement <> '' GROUP BY 1""",
