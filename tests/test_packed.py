@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,12 +55,49 @@ def test_parts_that_are_values_of_their_own_stay_apart(spark):
     assert found[0] == ["rope, winch"] and found[1] == ["rope", "winch"]
 
 
-def test_blocks_of_attested_values(spark, monkeypatch):
+def test_several_quoted_values(spark):
     texts = ['"sail loft, aft"|rope', '"cold room, east"|rope'] * 20 + ["rope|sail loft, aft|cold room, east"]
-    monkeypatch.setattr(packed, "BLOCK", 1)
     assert unpack(spark, texts)[-1] == ["rope", "sail loft, aft", "cold room, east"]
 
 
+def planted(size, n=400):
+    """Lists of words in any order, a twentieth of them with a value of `size` parts that is never quoted."""
+    rng = random.Random(5)
+    words, value = [f"word{i}" for i in range(60)], ", ".join(f"part {i}" for i in range(size))
+    texts, expected = [], []
+    for k in range(n):
+        items = [rng.choice(words) for _ in range(rng.randrange(3, 9))]
+        if k % 20 == 0:
+            items[rng.randrange(len(items))] = value
+        texts.append((", " if k % 3 else "; ").join(items))
+        expected.append(items)
+    return texts, expected
+
+
+@pytest.mark.parametrize("size", [2, 3, 5, 6])
+def test_values_that_are_never_quoted(spark, size):
+    """Parts that only stand together are one value, however many they are; words that merely meet often stay apart."""
+    texts, expected = planted(size)
+    assert unpack(spark, texts) == expected
+    df = spark.createDataFrame([(i, t, 9, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    row = packed.choices([packed.cells(df, "t", "id", "text")]).first()
+    assert (row.n_fields, row.n_joined) == (400, 20) and row.n_open >= row.n_joined
+
+
+def test_lists_that_come_again_show_nothing_new(spark):
+    """The same pair in repeated rows is no value: it always has the same surroundings."""
+    assert unpack(spark, ["rope, winch; cleat"] * 50)[0] == ["rope", "winch", "cleat"]
+
+
+def test_most_pairs_that_may_be_values_are_cut(spark):
+    """Frequent words meet often enough to open second paths, which Viterbi doesn't take."""
+    rng = random.Random(3)
+    texts = [", ".join(rng.choice("abcdef") for _ in range(6)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t, 9, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    row = packed.choices([packed.cells(df, "t", "id", "text")]).first()
+    assert row.n_open > 250 and row.n_joined == 0
+
+
 def test_long_and_empty(spark):
     assert unpack(spark, []) == []
     assert unpack(spark, ["|".join(f"v{i}" for i in range(50_000))])[0][-1] == "v49999"
@@ -74,13 +113,13 @@ def test_quoted_values_come_back(values):
 
 
 def test_posteriors_sum_to_one():
-    known = {("f", "a"): [(("a", "b"), "a,b")], ("f", "b"): [(("b", "c"), "b,c")]}
-    lattice = packed.Lattice(known, {("f", ("a",)): 3.0, ("f", ("a", "b")): 2.0, ("f", None): 50.0}, {})
-    parts = packed.lex("a, b, c")
-    edges = lattice.edges("f", "a, b, c", parts)
-    assert edges == [(0, 2), (1, 3)]
+    key = lambda v: packed._key(0, v)
+    lexicon = packed.Lexicon({key("a,b"): (key("a"), 2), key("b,c"): (key("b"), 2)})
+    model = packed.Model({key("a"): 3.0, key("a,b"): 2.0, key("b,c"): 1.0}, {0: 50}, {})
+    edges = lexicon.edges(0, ["a", "b", "c"], [",", ","])
+    assert [e[:2] for e in edges] == [(0, 2), (1, 3)]
     total = [0.0] * 3
-    for i, j, p in lattice.expected("f", "a, b, c", parts, edges):
+    for i, j, _, p in model.expected(0, ["a", "b", "c"], [",", ","], edges)[1]:
         for k in range(i, j):
             total[k] += p
     assert total == pytest.approx([1, 1, 1])
@@ -92,18 +131,6 @@ def test_same_text_in_other_partitions(spark, rows):
     assert one == rows(packed.unpack([packed.cells(df.repartition(7), "t", "id", "text")]))
 
 
-def test_blocks_give_the_same_rows(spark, monkeypatch):
-    """Values start from their counted frequencies, however many blocks they are carried in."""
-    texts = ['"sail loft, aft"|rope'] * 30 + ['"cold room; east"', '"cold room, east"', "cold room, east|x", "rope|sail loft, aft|winch"] + ["sail loft; rope", "aft; rope"] * 12
-    whole, start = unpack(spark, texts), {}
-    counting = packed._counting
-    monkeypatch.setattr(packed, "_counting", lambda shared: start.setdefault(packed.BLOCK, dict(shared.value[1])) and None or counting(shared))
-    for block in (packed.BLOCK, 1):
-        monkeypatch.setattr(packed, "BLOCK", block)
-        assert unpack(spark, texts) == whole
-    assert len(start) == 2 and len(set(map(str, (sorted(s.items()) for s in start.values())))) == 1
-
-
 @pytest.mark.parametrize("size", [5, 40, 400])
 def test_values_of_many_parts(spark, size):
     long = ", ".join(f"part {i}" for i in range(size))
