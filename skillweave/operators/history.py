@@ -1,15 +1,18 @@
 """Version history of entity attributes from snapshots or updates.
 
-Two steps. A Merkle comparison finds, per snapshot, the key buckets whose content differs from the snapshot before;
-rows in other buckets repeat a known state and are left out. What remains is sorted globally by entity and time and
-read once in order, so that equal neighbours become one version. No entity is gathered in one task: the range sort
-cuts a large entity anywhere, and the runs at the cuts (three a partition at most) are joined afterwards.
+1. Merkle comparison. The keys of a delivery (snapshot or run) fall into leaf buckets by their hash, as many as keep the
+   number of keys a leaf the same however many keys there are; a node's digest is the XOR of its children's. Each node is
+   compared with itself in the last delivery that has it, from the root down, and only differing branches are descended.
+   Equal digests mean the same keys with the same content as when those keys were last delivered, so nothing of that
+   branch begins a version and its rows are left out. An update that repeats what is known is left out as well.
+2. Diff. The rows of changed leaves are sorted by entity and time and read once in order: a row is compared with the
+   version open before it and appends a version if it differs. No entity is gathered in one task: the range sort cuts a
+   large entity anywhere, and the runs at the cuts (three a partition at most) are joined afterwards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,12 @@ from pyspark.sql import types as T
 
 from skillweave.session import materialise
 
-#: Bits of the Merkle tree's levels below the root; the last is the leaf level.
-LEVELS = (6, 12)
+#: Bits of the tree from one level to the next, and bits by which the leaves outnumber the keys (so that most leaves hold
+#: one key, and a changed key takes few others with it).
+STEP, SPARE = 8, 1
 _NULL = "\x00"
+#: Most (period, leaf) rows that are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 2_000_000
 
 
 def state_text(*columns: Column) -> Column:
@@ -30,53 +36,47 @@ def state_text(*columns: Column) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit(_NULL)) for c in columns])
 
 
-#: Most (period, leaf) rows that are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+def leaf_bits(n_keys: int) -> int:
+    """Bits that number the leaves for so many keys."""
+    return min(48, max(1, int(n_keys).bit_length()) + SPARE)
+
+
+def leaf_of(entity: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(entity), 64 - bits)
 
 
-def changed_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(period, leaf) of the buckets to diff, and of all buckets. `rows` has entity, period and content columns.
+def _digests(rows: DataFrame, *keys: str) -> DataFrame:
+    """128-bit digests of nodes from those of their children."""
+    return rows.groupBy(*keys).agg(F.bit_xor("d").alias("d"), F.bit_xor("e").alias("e"))
 
-    Leaf digests are XORs of one digest per entity; an entity with two contents in a period gets a digest of its own,
-    which never equals that of the period before. Upper levels XOR their children. A period is compared with the one
-    before it, root first; only the children of differing nodes are looked at.
+
+def changed_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """((period, leaf) of the buckets to diff, those of all buckets, bits of a leaf). `rows` has entity, period, content.
+
+    An entity with two contents in a period gets a digest of its own there, which equals that of no other period.
     """
-    per_entity = (
-        rows.select(
-            F.xxhash64("entity").alias("h1"),
-            F.xxhash64(F.lit(7), "entity").alias("h2"),
-            "period",
-            F.xxhash64("content").alias("c"),
-        )
-        .groupBy("h1", "h2", "period")
-        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    )
+    contents = (
+        rows.select(F.xxhash64("entity").alias("h1"), F.xxhash64(F.lit(7), "entity").alias("h2"), "period", F.xxhash64("content").alias("c"))
+        .groupBy("h1", "h2", "period").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    )
     sole = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.xxhash64("lo", "hi", "period"))
-    leaf = F.shiftrightunsigned(F.col("h1"), 64 - LEVELS[-1]).cast("int")
-    leaves = materialise(
-        per_entity.select("period", leaf.alias("node"), F.xxhash64("h1", "h2", sole).alias("d"), F.xxhash64(F.lit(3), "h2", "h1", sole).alias("e"))
-        .groupBy("period", "node")
-        .agg(F.bit_xor("d").alias("d"), F.bit_xor("e").alias("e")),
-        "merkle",
-    )
-    # One row a snapshot: bounded by the number of deliveries, never by their size.
-    before = leaves.select("period").distinct().select("period", F.lag("period").over(Window.orderBy("period")).alias("previous"))
+    keys = materialise(contents.select("h1", "period", F.xxhash64("h1", "h2", sole).alias("d"), F.xxhash64(F.lit(3), "h2", "h1", sole).alias("e")), "keys")
+    bits = leaf_bits(keys.agg(F.approx_count_distinct("h1")).first()[0])
+    leaves = materialise(_digests(keys.select("period", F.shiftrightunsigned("h1", 64 - bits).alias("node"), "d", "e"), "period", "node"), "merkle")
+    depths = [0, *range(bits % STEP or STEP, bits + 1, STEP)]
     alive: DataFrame | None = None
-    for depth, bits in enumerate((0, *LEVELS)):
-        level = (
-            leaves.groupBy("period", F.shiftright("node", LEVELS[-1] - bits).alias("node")).agg(F.bit_xor("d").alias("d"), F.bit_xor("e").alias("e"))
-            if bits < LEVELS[-1]
-            else leaves
-        )
-        now = level.join(before, "period")
-        if alive is not None:
-            step = bits - (0, *LEVELS)[depth - 1]
-            parents = alive.select(F.col("period").alias("of"), F.col("node").alias("parent"))
-            now = now.join(parents, (F.col("period") == F.col("of")) & (F.shiftright("node", step) == F.col("parent")), "left_semi")
-        old = level.select(F.col("period").alias("previous"), "node", F.col("d").alias("od"), F.col("e").alias("oe"))
-        alive = now.join(old, ["previous", "node"], "left").where(~(F.col("d").eqNullSafe(F.col("od")) & F.col("e").eqNullSafe(F.col("oe")))).select("period", "node")
+    for above, depth in zip([0, *depths], depths, strict=False):
+        level = leaves
+        if alive is not None:  # only what lies below a differing node
+            level = level.withColumn("parent", F.shiftright("node", bits - above)).join(alive.withColumnRenamed("node", "parent"), ["period", "parent"], "left_semi")
+        if depth < bits:
+            level = _digests(level.withColumn("node", F.shiftright("node", bits - depth)), "period", "node")
+        # A node has at most a row for each delivery. Where its parent is left out the node is that of the delivery before.
+        before = Window.partitionBy("node").orderBy("period")
+        same = F.col("d").eqNullSafe(F.lag("d").over(before)) & F.col("e").eqNullSafe(F.lag("e").over(before))
+        alive = level.withColumn("same", same).where("not same").select("period", "node")
     named = lambda x: x.select("period", F.col("node").alias("leaf"))
-    return materialise(named(alive), "changed"), named(leaves)
+    return materialise(named(alive), "changed"), named(leaves), bits
 
 
 def in_changed_buckets(rows: DataFrame, changed: DataFrame, every: DataFrame) -> DataFrame:
@@ -102,6 +102,11 @@ _RUNS = T.StructType(
 )
 
 
+_ARROW = pa.schema(
+    [(f.name, {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "int": pa.int32()}[f.dataType.simpleString()]) for f in _RUNS.fields]
+)
+
+
 def _shifted(values: np.ndarray) -> np.ndarray:
     """True where a value differs from the one before it."""
     out = np.ones(len(values), dtype=bool)
@@ -109,47 +114,85 @@ def _shifted(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _starts(*values: np.ndarray) -> np.ndarray:
+    """Where any of the values differs from the one before."""
+    out = np.zeros(len(values[0]), dtype=bool)
+    for v in values:
+        out |= _shifted(v)
+    return np.flatnonzero(out)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where the values are; of one batch and a row, so of a bounded size."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+class _Scan:
+    """Runs of equal state in rows that come sorted by entity and time, batch by batch; holds one row and two runs."""
+
+    def __init__(self, only_changed: bool):
+        self.only_changed, self.pid, self.seq = only_changed, TaskContext.get().partitionId(), 0
+        self.row: pa.Table | None = None  # of the last entity and time, which the next batch may still replace
+        self.runs: list[dict] = []  # the open run and the one before it
+
+    def feed(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([batch])
+        if self.row is not None:
+            table = pa.concat_tables([self.row, table])
+        # Of rows for one entity and time the last in order holds.
+        keep = np.append(_starts(_codes(table["entity"]), table["at"].to_numpy())[1:], len(table)) - 1
+        self.row = table.slice(int(keep[-1]), 1)
+        if len(keep) > 1:
+            yield from self._add(table.take(pa.array(keep[:-1])))
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.row is not None:
+            yield from self._add(self.row)
+            yield pa.RecordBatch.from_pylist([run | {"pid": self.pid, "seq": self.seq + k, "edge": True} for k, run in enumerate(self.runs)], _ARROW)
+
+    def _add(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Append the rows to the open version or, where they differ from it, as new versions; yields those that are done."""
+        entity = _codes(rows["entity"])
+        starts = _starts(entity, _codes(rows["state"]))
+        ends = np.append(starts[1:], len(rows)) - 1
+        follows = np.append(False, entity[starts[1:]] == entity[starts[1:] - 1])
+        firsts, lasts = rows.take(pa.array(starts)), rows.take(pa.array(ends))
+        begin = firsts["at"].to_numpy()
+        skip = 0
+        if self.runs and self.runs[-1]["entity"] == firsts["entity"][0].as_py():
+            if self.runs[-1]["state"] == firsts["state"][0].as_py():
+                skip = 1
+                self.runs[-1] |= {"last": lasts["at"][0].as_py(), "until": lasts["until"][0].as_py()}
+            else:
+                follows[0] = True
+        if self.runs and len(starts) > skip and follows[skip]:
+            self.runs[-1]["next"] = int(begin[skip])
+        following = np.append(follows[1:], False)
+        found = pa.Table.from_arrays(
+            [firsts["entity"], pa.array(begin), firsts["state"], lasts["at"], lasts["until"], pa.array(np.append(begin[1:], 0), pa.int64(), mask=~following), pa.array(follows)], names=_ARROW.names[:7]
+        ).slice(skip)
+        done = max(0, len(found) - 2)
+        earlier, self.runs = self.runs[: max(0, len(self.runs) + len(found) - 2)], (self.runs + found.slice(done).to_pylist())[-2:]
+        for some in (pa.Table.from_pylist(earlier, pa.schema(list(_ARROW)[:7])), found.slice(0, done)):
+            if len(some):
+                seq = np.arange(self.seq, self.seq + len(some))
+                self.seq += len(some)
+                more = [pa.array(np.full(len(some), self.pid), pa.int32()), pa.array(seq), pa.array(seq == 0)]
+                whole = pa.Table.from_arrays([*some.columns, *more], names=_ARROW.names)
+                if self.only_changed:
+                    whole = whole.filter((seq == 0) | some["follows"].to_numpy() | ~np.asarray(some["next"].is_null()))
+                yield from whole.cast(_ARROW).combine_chunks().to_batches()
+
+
 def _runs(only_changed: bool):
     """Linear pass over a sorted partition: rows -> runs of equal state."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        entity = table["entity"].combine_chunks().dictionary_encode().indices.to_numpy()
-        state = table["state"].combine_chunks().dictionary_encode().indices.to_numpy()
-        at = table["at"].to_numpy()
-        new_entity, new_at = _shifted(entity), _shifted(at)
-        # Of rows for one entity and time the last in order holds.
-        keep = np.flatnonzero(np.append((new_entity | new_at)[1:], True))
-        entity, state, at = entity[keep], state[keep], at[keep]
-        first = _shifted(entity)
-        starts = np.flatnonzero(first | _shifted(state))
-        ends = np.append(starts[1:], len(keep)) - 1
-        n = len(starts)
-        follows = ~first[starts]
-        nxt = np.append(at[starts[1:]], 0)
-        has_next = np.append(follows[1:], False)
-        seq = np.arange(n)
-        edge = (seq == 0) | (seq >= n - 2)
-        take = edge | follows | has_next if only_changed else np.ones(n, dtype=bool)
-        rows, tails = table.take(pa.array(keep[starts][take])), table["until"].take(pa.array(keep[ends][take]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                rows["entity"].combine_chunks().cast(pa.string()),
-                pa.array(at[starts][take], pa.int64()),
-                rows["state"].combine_chunks().cast(pa.string()),
-                pa.array(at[ends][take], pa.int64()),
-                tails.combine_chunks().cast(pa.int64()),
-                pa.array(nxt[take], pa.int64(), mask=~has_next[take]),
-                pa.array(follows[take]),
-                pa.array(np.full(int(take.sum()), TaskContext.get().partitionId()), pa.int32()),
-                pa.array(seq[take], pa.int64()),
-                pa.array(edge[take]),
-            ],
-            names=_RUNS.fieldNames(),
-        )
+        state = _Scan(only_changed)
+        for batch in batches:
+            if batch.num_rows:
+                yield from state.feed(batch)
+        yield from state.close()
 
     return scan
 
@@ -207,10 +250,9 @@ def version_history(
         F.coalesce((period if period is not None else at).cast("string"), F.lit("")).alias("period"),
     ).where(F.col("entity").isNotNull() & F.col("at").isNotNull())
     base = base.withColumn("until", F.when(F.col("stated") > F.col("at"), F.col("stated"))).drop("stated")
-    leaf = F.shiftrightunsigned(F.xxhash64("entity"), 64 - LEVELS[-1]).cast("int")
-    changed, every = changed_buckets(base.select("entity", "period", state_text(F.col("state"), F.col("until")).alias("content")))
+    changed, every, bits = changed_buckets(base.select("entity", "period", state_text(F.col("state"), F.col("until")).alias("content")))
     order = ["entity", "at", *[F.col(f"by{i}").asc_nulls_first() for i in range(len(latest_by))]]
-    alive = in_changed_buckets(base.withColumn("leaf", leaf), changed, every)
+    alive = in_changed_buckets(base.withColumn("leaf", leaf_of(F.col("entity"), bits)), changed, every)
     ordered = alive.select("entity", "at", "state", "until", *[f"by{i}" for i in range(len(latest_by))]).repartitionByRange(*order).sortWithinPartitions(*order)
     runs = materialise(ordered.select("entity", "at", "state", "until").mapInArrow(_runs(only_changed), _RUNS), "runs")
     edges = runs.where("edge").orderBy("pid", "seq").collect()  # three rows a partition at most
@@ -231,22 +273,22 @@ def append_snapshot(history: DataFrame, snapshot: DataFrame, key: str, attribute
 
     Open versions whose attributes the snapshot changes are closed at `at`, new ones are opened; keys that the snapshot
     lacks stay open. Keys with null or repeated rows in the snapshot: null keys are ignored, of repeats the largest
-    attributes hold. Only Merkle leaves that differ between the open versions and the snapshot are joined.
+    attributes hold. Only leaves that differ between the snapshot and the open versions of its leaves are diffed; closed
+    versions are passed through unread.
     """
-    one = snapshot.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*attributes)).alias("_n")).select(key, "_n")
-    leaf = F.shiftrightunsigned(F.xxhash64(key), 64 - LEVELS[-1]).cast("int")
-    digest = lambda d, s: d.groupBy(leaf.alias("leaf")).agg(F.bit_xor(F.xxhash64(F.col(key), s)).alias("d"))
-    current = history.where(F.col("valid_to").isNull())
-    sides = digest(one, state_text(*[F.col("_n")[a] for a in attributes])).alias("n").join(
-        digest(current, state_text(*[F.col(a) for a in attributes])).alias("o"), "leaf", "left"
-    )
-    differing = sides.where(~F.col("n.d").eqNullSafe(F.col("o.d"))).select("leaf")
-    news = one.withColumn("leaf", leaf).join(F.broadcast(differing), "leaf", "left_semi").drop("leaf")
-    same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col("_n")[a]) for a in attributes])
-    joined = history.join(news, key, "left")
-    closes = F.col("valid_to").isNull() & F.col("_n").isNotNull() & ~same
-    kept = joined.withColumn("valid_to", F.when(closes, at).otherwise(F.col("valid_to"))).select(*history.columns)
-    known = current.select(F.col(key), F.struct(*attributes).alias("_o"))
-    fresh = news.join(known, key, "left").where(F.col("_o").isNull() | ~state_text(*[F.col("_o")[a] for a in attributes]).eqNullSafe(state_text(*[F.col("_n")[a] for a in attributes])))
-    opened = fresh.select(key, *[F.col("_n")[a].alias(a) for a in attributes], at.alias("valid_from"), F.lit(None).cast(history.schema["valid_to"].dataType).alias("valid_to"))
-    return kept.unionByName(opened.select(*history.columns))
+    one = snapshot.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*attributes)).alias("_n"))
+    bits = leaf_bits(snapshot.agg(F.approx_count_distinct(key)).first()[0])
+    given = lambda side: state_text(*[F.col(f"{side}.{a}") for a in attributes])
+    news = one.select(F.col(key).alias("_k"), "_n", leaf_of(F.col(key), bits).alias("_leaf"))
+    open_now = history.where(F.col("valid_to").isNull()).withColumn("_leaf", leaf_of(F.col(key), bits))
+    held = open_now.select(F.col(key).alias("_k"), F.struct(*attributes).alias("_o"), "_leaf")
+    digest = lambda d, side: d.groupBy("_leaf").agg(F.bit_xor(F.xxhash64("_k", given(side))).alias("d"), F.bit_xor(F.xxhash64(F.lit(3), "_k", given(side))).alias("e"))
+    # Leaves that the snapshot lacks have nothing to say.
+    both = digest(news, "_n").join(digest(held, "_o").select("_leaf", F.col("d").alias("od"), F.col("e").alias("oe")), "_leaf", "left")
+    differing = both.where(~(F.col("d").eqNullSafe(F.col("od")) & F.col("e").eqNullSafe(F.col("oe")))).select("_leaf")
+    changes = news.join(differing, "_leaf", "left_semi").join(held.drop("_leaf"), "_k", "left").where(F.col("_o").isNull() | (given("_o") != given("_n")))
+    changes = materialise(changes.select("_k", "_n", F.col("_o").isNotNull().alias("_closes")), "appended")
+    closing = changes.where("_closes").select(F.col("_k").alias(key), F.lit(True).alias("_closed"))
+    kept = open_now.drop("_leaf").join(closing, key, "left").withColumn("valid_to", F.when(F.col("_closed"), at).otherwise(F.col("valid_to"))).select(*history.columns)
+    opened = changes.select(F.col("_k").alias(key), *[F.col("_n")[a].alias(a) for a in attributes], at.alias("valid_from"), F.lit(None).cast(history.schema["valid_to"].dataType).alias("valid_to"))
+    return history.where(F.col("valid_to").isNotNull()).unionByName(kept).unionByName(opened.select(*history.columns))

@@ -45,6 +45,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return shaped(quals, "qual_registry", "yyyy-MM-dd").unionByName(shaped(links, "uoc_occupation_links", "yyyy-MM-dd HH:mm:ss"))
 
 
+def p2_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The history of the qualifications up to the last snapshot but one, with the last snapshot appended to it."""
+    tidy = lambda c: F.coalesce(F.lower(F.trim(F.col(c))), F.lit(""))
+    rows = table(spark, d, "qual_registry").where(F.col("qual_code").isNotNull() & F.col("snapshot_date").isNotNull())
+    rows = rows.select("qual_code", "snapshot_date", "ingested_at", "id", tidy("status").alias("status"), tidy("superseded_by").alias("superseded_by"))
+    last = rows.agg(F.max("snapshot_date").alias("at"))  # one row
+    told = rows.crossJoin(F.broadcast(last)).withColumn("is_last", F.col("snapshot_date") == F.col("at"))
+    order = [F.col("ingested_at"), F.col("id")]
+    held = history.version_history(told.where("not is_last"), entity=F.col("qual_code"), at=F.col("snapshot_date"), state=[F.col("status"), F.col("superseded_by")], latest_by=order)
+    of = lambda n: F.split("state", "\x1f")[n]
+    day = lambda c: F.timestamp_micros(c).cast("date")
+    before = held.select(F.col("entity").alias("qual_code"), of(0).alias("status"), of(1).alias("superseded_by"), day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"))
+    final = told.where("is_last").groupBy("qual_code").agg(F.max_by(F.struct("status", "superseded_by"), F.struct(*order)).alias("x")).select("qual_code", "x.*")
+    at = last.first()["at"]
+    return history.append_snapshot(before, final, "qual_code", ["status", "superseded_by"], F.lit(at).cast("date"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Items of the packed fields, one per row."""
     return packed.unpack([packed.cells(table(spark, d, t), t, row_id, f) for t, row_id, fields in _PACKED for f in fields])
@@ -74,7 +91,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.dangling_report(_dangling(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p2_found": p2_found, "p2_appended": p2_appended, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
 
 _REGISTRY_SQL = """
 WITH u AS (SELECT upper(trim(uoc_code)) code, min(ingested_at) since, bool_or(lower(trim(usage_recommendation)) = 'deleted') deleted
@@ -110,6 +127,12 @@ l3 AS (SELECT k, a, coalesce(lead(a) OVER (PARTITION BY k ORDER BY a), u) n, cou
 SELECT 'qual_registry' src_table, k entity_key, strftime(a, '%Y-%m-%d') valid_from, coalesce(strftime(n, '%Y-%m-%d'), '') valid_to FROM q3
 UNION ALL
 SELECT 'uoc_occupation_links', k, strftime(a, '%Y-%m-%d %H:%M:%S'), coalesce(strftime(n, '%Y-%m-%d %H:%M:%S'), '') FROM l3 WHERE c > 1
+""",
+    "p2_appended": """
+WITH q1 AS (SELECT qual_code, snapshot_date a, coalesce(lower(trim(status)), '') status, coalesce(lower(trim(superseded_by)), '') superseded_by FROM qual_registry WHERE qual_code IS NOT NULL AND snapshot_date IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY qual_code, snapshot_date ORDER BY ingested_at DESC, id DESC) = 1),
+q2 AS (SELECT *, lag(status || chr(31) || superseded_by) OVER (PARTITION BY qual_code ORDER BY a) p FROM q1)
+SELECT qual_code, status, superseded_by, a valid_from, lead(a) OVER (PARTITION BY qual_code ORDER BY a) valid_to FROM q2 WHERE p IS NULL OR p <> status || chr(31) || superseded_by
 """,
     "p4_found": """
 WITH c AS (SELECT 'tga_qualifications_updated' src_table, row_id, unnest(['core_unit_codes', 'elective_unit_codes', 'taxonomy_occupation']) field, unnest([core_unit_codes, elective_unit_codes, taxonomy_occupation]) t FROM tga_qualifications_updated

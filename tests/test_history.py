@@ -105,3 +105,34 @@ def test_append_snapshot(spark):
     at = F.lit("2024-03-01").cast("timestamp_ntz")
     found = {(r.k, r.v, r.valid_to is None) for r in history.append_snapshot(held, snap, "k", ["v"], at).collect()}
     assert found == {("a", "1", False), ("a", "2", True), ("b", "1", True), ("c", "1", False), ("c", "1", True), ("d", None, True)}
+
+
+@pytest.mark.parametrize("times", [1, 8, 64])
+def test_share_of_changed_buckets_does_not_grow_with_the_keys(spark, times):
+    """A fifth of the keys changes in each delivery; leaves grow in number with the keys, so as few rows are left to diff."""
+    base = spark.range(100 * times).select(F.concat(F.lit("k"), "id").alias("entity"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("p"))
+    rows = base.select("entity", F.col("p").cast("string").alias("period"), F.when(F.pmod(F.xxhash64("entity"), F.lit(10)) == F.col("p"), F.col("p")).otherwise(0).alias("content"))
+    changed, every, bits = history.changed_buckets(rows)
+    kept = history.in_changed_buckets(rows.withColumn("leaf", history.leaf_of(F.col("entity"), bits)), changed, every)
+    assert 0.15 < kept.where("period <> '1'").count() / (400 * times) < 0.32 and kept.where("period = '1'").count() == 100 * times
+
+
+def test_updates_that_repeat_what_is_known_are_left_out(spark):
+    """A key that a delivery lacks is compared with the last one that had it."""
+    rows = [(f"k{i}", str(p), "x") for i in range(50) for p in range(6) if p == 0 or (i + p) % 3 == 0]
+    df = spark.createDataFrame(rows, "entity string, period string, content string")
+    changed, every, _ = history.changed_buckets(df)
+    later = "period <> '0'"
+    assert changed.where("period = '0'").count() == every.where("period = '0'").count()
+    assert 2 * changed.where(later).count() < every.where(later).count()  # leaves of several keys of which one comes
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_batches_of_any_size(spark, size):
+    rows = make(21, 300, 12, 25)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        assert run(spark, rows) == brute(rows, True)
+        assert run(spark, rows, only_changed=True) == [r for r in brute(rows, True) if r[3]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
