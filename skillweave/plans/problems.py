@@ -59,7 +59,8 @@ def p2_appended(spark: SparkSession, d: str) -> DataFrame:
     before = held.select(F.col("entity").alias("qual_code"), of(0).alias("status"), of(1).alias("superseded_by"), day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"))
     final = told.where("is_last").groupBy("qual_code").agg(F.max_by(F.struct("status", "superseded_by"), F.struct(*order)).alias("x")).select("qual_code", "x.*")
     at = last.first()["at"]
-    return history.append_snapshot(before, final, "qual_code", ["status", "superseded_by"], F.lit(at).cast("date"))
+    found = history.append_snapshot(before, final, "qual_code", ["status", "superseded_by"], F.lit(at).cast("date"))
+    return found.select("qual_code", "status", "superseded_by", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("valid_from", "valid_to")])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +133,7 @@ SELECT 'uoc_occupation_links', k, strftime(a, '%Y-%m-%d %H:%M:%S'), coalesce(str
 WITH q1 AS (SELECT qual_code, snapshot_date a, coalesce(lower(trim(status)), '') status, coalesce(lower(trim(superseded_by)), '') superseded_by FROM qual_registry WHERE qual_code IS NOT NULL AND snapshot_date IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY qual_code, snapshot_date ORDER BY ingested_at DESC, id DESC) = 1),
 q2 AS (SELECT *, lag(status || chr(31) || superseded_by) OVER (PARTITION BY qual_code ORDER BY a) p FROM q1)
-SELECT qual_code, status, superseded_by, a valid_from, lead(a) OVER (PARTITION BY qual_code ORDER BY a) valid_to FROM q2 WHERE p IS NULL OR p <> status || chr(31) || superseded_by
+SELECT qual_code, status, superseded_by, strftime(a, '%Y-%m-%d') valid_from, strftime(lead(a) OVER (PARTITION BY qual_code ORDER BY a), '%Y-%m-%d') valid_to FROM q2 WHERE p IS NULL OR p <> status || chr(31) || superseded_by
 """,
     "p4_found": """
 WITH c AS (SELECT 'tga_qualifications_updated' src_table, row_id, unnest(['core_unit_codes', 'elective_unit_codes', 'taxonomy_occupation']) field, unnest([core_unit_codes, elective_unit_codes, taxonomy_occupation]) t FROM tga_qualifications_updated

@@ -48,3 +48,9 @@ def test_report(spark):
 
 def test_long_codes(spark):
     assert find(spark, full([(1, "x" * 100_000, OLD)]), PARENTS) == [(1, "missing")]
+
+
+def test_intervals(spark):
+    p = spark.createDataFrame(PARENTS, "code string, got timestamp_ntz, status string, id long")
+    held = references.parent_intervals(p, key=F.col("code"), received=F.col("got"), deleted=F.lower(F.trim("status")) == "deleted", latest_by=[F.col("id")])
+    assert {tuple(r) for r in held.collect()} == {("A1", OLD, None, False), ("B2", NEW, None, False), ("C3", OLD, NEW, True), ("D4", OLD, None, False), ("E5", NEW, NEW, True)}
