@@ -28,7 +28,7 @@ from skillweave.session import materialise
 STEP, SPARE = 8, 1
 _NULL = "\x00"
 #: Most (period, leaf) rows that are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def state_text(*columns: Column) -> Column:
@@ -36,6 +36,11 @@ def state_text(*columns: Column) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit(_NULL)) for c in columns])
 
 
+def small(table: DataFrame, size: int) -> DataFrame:
+    """The table, to be broadcast if it has few enough rows."""
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table
+
+
 def leaf_bits(n_keys: int) -> int:
     """Bits that number the leaves for so many keys."""
     return min(48, max(1, int(n_keys).bit_length()) + SPARE)
@@ -55,20 +60,21 @@ def changed_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
     An entity with two contents in a period gets a digest of its own there, which equals that of no other period.
     """
+    bits = leaf_bits(rows.agg(F.approx_count_distinct("entity")).first()[0] or 0)
     contents = (
         rows.select(F.xxhash64("entity").alias("h1"), F.xxhash64(F.lit(7), "entity").alias("h2"), "period", F.xxhash64("content").alias("c"))
         .groupBy("h1", "h2", "period").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     )
     sole = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.xxhash64("lo", "hi", "period"))
-    keys = materialise(contents.select("h1", "period", F.xxhash64("h1", "h2", sole).alias("d"), F.xxhash64(F.lit(3), "h2", "h1", sole).alias("e")), "keys")
-    bits = leaf_bits(keys.agg(F.approx_count_distinct("h1")).first()[0])
-    leaves = materialise(_digests(keys.select("period", F.shiftrightunsigned("h1", 64 - bits).alias("node"), "d", "e"), "period", "node"), "merkle")
+    keys = contents.select("period", F.shiftrightunsigned("h1", 64 - bits).alias("node"), F.xxhash64("h1", "h2", sole).alias("d"), F.xxhash64(F.lit(3), "h2", "h1", sole).alias("e"))
+    leaves = materialise(_digests(keys, "period", "node"), "merkle")
     depths = [0, *range(bits % STEP or STEP, bits + 1, STEP)]
     alive: DataFrame | None = None
     for above, depth in zip([0, *depths], depths, strict=False):
         level = leaves
         if alive is not None:  # only what lies below a differing node
-            level = level.withColumn("parent", F.shiftright("node", bits - above)).join(alive.withColumnRenamed("node", "parent"), ["period", "parent"], "left_semi")
+            alive = materialise(alive.withColumnRenamed("node", "parent"), "branches")
+            level = level.withColumn("parent", F.shiftright("node", bits - above)).join(small(alive, alive.count()), ["period", "parent"], "left_semi")
         if depth < bits:
             level = _digests(level.withColumn("node", F.shiftright("node", bits - depth)), "period", "node")
         # A node has at most a row for each delivery. Where its parent is left out the node is that of the delivery before.
@@ -83,7 +89,7 @@ def in_changed_buckets(rows: DataFrame, changed: DataFrame, every: DataFrame) ->
     """The rows (with period and leaf) of changed buckets, told by the shorter of the lists of changed and unchanged ones."""
     n_changed, n = changed.count(), every.count()
     few, how, size = (changed, "left_semi", n_changed) if 2 * n_changed <= n else (every.join(changed, ["period", "leaf"], "left_anti"), "left_anti", n - n_changed)
-    return rows.join(F.broadcast(few) if size <= BROADCAST_ROWS else few, ["period", "leaf"], how)
+    return rows.join(small(few, size), ["period", "leaf"], how)
 
 
 _RUNS = T.StructType(
