@@ -37,6 +37,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs_of_records(*neardup.near_duplicates(records, "id", "element_title", "pcs_text", "skill_statement"))
 
 
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every skill record that has words, with its copies and links."""
+    records = table(spark, d, "rsd_skill_records")
+    return neardup.groups_of_records(*neardup.near_duplicates(records, "id", "element_title", "pcs_text", "skill_statement"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least half of an evaluation item."""
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -57,7 +63,15 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pieces(table(spark, d, "documents"), table(spark, d, "source_plan"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_groups": p7_groups, "p8_found": p8_found, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_pieces": p10_pieces}
+
+_SIMILAR = """
+w AS (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', element_title, pcs_text, skill_statement)), '\\p{L}+'))) w FROM rsd_skill_records),
+k AS (SELECT w, min(id) class_id, count(*) n_copies FROM w WHERE len(w) > 0 GROUP BY w),
+u AS (SELECT class_id id, len(w) n, unnest(w) x FROM k),
+p AS (SELECT a.id a, b.id b, any_value(a.n) + any_value(b.n) n, count(*) c FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE c * 5 >= (n - c) * 4 UNION ALL SELECT b, a FROM p WHERE c * 5 >= (n - c) * 4),
+"""
 
 ORACLE = {
     "p1_found": """
@@ -70,6 +84,11 @@ WITH w AS (SELECT id, list_distinct(regexp_extract_all(lower(concat_ws(' ', elem
 u AS (SELECT id, len(w) n, unnest(w) x FROM w),
 p AS (SELECT a.id id_a, b.id id_b, any_value(a.n) + any_value(b.n) n, count(*) c FROM u a JOIN u b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
 SELECT id_a, id_b FROM p WHERE c * 5 >= (n - c) * 4
+""",
+    "p7_groups": "WITH RECURSIVE" + _SIMILAR + """
+r AS (SELECT class_id n, class_id g FROM k UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.n),
+g AS (SELECT n, min(g) group_id FROM r GROUP BY 1), d AS (SELECT a, count(*) n_links FROM e GROUP BY 1)
+SELECT w.id, class_id, n_copies, coalesce(n_links, 0) n_links, group_id FROM w JOIN k USING (w) JOIN g ON g.n = class_id LEFT JOIN d ON d.a = class_id
 """,
     "p8_found": """
 WITH i0 AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w FROM eval_items),

@@ -95,7 +95,7 @@ def test_long_texts(spark):
 
 
 def test_bounds_hold():
-    """No filter discards a pair within the distance: coordinates and foldings never exceed it."""
+    """No filter discards a pair within the distance: differences of coordinates never exceed it."""
     rng = np.random.default_rng(1)
     scheme = neardup.Scheme([], [rng.integers(0, 10**9, 30).tolist() for _ in range(neardup.PIVOTS)], (4, 5))
     for _ in range(50):
@@ -104,9 +104,58 @@ def test_bounds_hold():
         words, record = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
         sizes = np.array([len(a), len(b)])
         differ = len(np.setxor1d(a, b))
-        at, fold = scheme.coordinates(words, record, sizes), scheme.folding(words, record, 2)
-        assert np.abs(at[0] - at[1]).max() <= differ and int(np.bitwise_count(fold[0] ^ fold[1])) <= differ
+        columns = scheme.distances(scheme.coordinates(words, record, sizes))
+        assert len(columns) == neardup.PIVOTS + 1 and max(abs(int(c[0]) - int(c[1])) for c in columns) <= differ
         if differ <= scheme.distance(len(a) + len(b)):
             for scheme.slack in (0, 1):
+                scheme.hot = np.zeros(0, np.uint64)
                 row, sig, _ = scheme.signatures(words, record, sizes)
                 assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+                scheme.hot = np.unique(sig)  # all divided
+                row, more, _ = scheme.signatures(words, record, sizes)
+                assert set(more[row == 0].tolist()) & set(more[row == 1].tolist()) and not np.isin(more, sig).any()
+
+
+def test_coordinates_are_distances():
+    """The pivot table holds the Hamming distances to the reference fingerprints, but for the pivots' sizes."""
+    rng = np.random.default_rng(2)
+    pivots = [np.unique(rng.integers(0, 200, 60)).tolist() for _ in range(neardup.PIVOTS)]
+    scheme = neardup.Scheme([], pivots, (4, 5))
+    sets = [np.unique(rng.integers(0, 200, k)) for k in (5, 60, 90)]
+    sizes = np.array([len(x) for x in sets])
+    columns = scheme.distances(scheme.coordinates(np.concatenate(sets), np.repeat(np.arange(3), sizes), sizes))
+    for k, p in enumerate(pivots):
+        assert [int(d) + len(p) for d in columns[k + 1]] == [len(set(x.tolist()) ^ set(p)) for x in sets]
+
+
+def test_hot_blocks_are_tiled(spark, monkeypatch):
+    """Blocks that no division makes small are compared in tiles; the sample may miss them."""
+    base = " ".join(VOCABULARY[:80])
+    rows = [(i, base + " " + x, "") for i, x in make(60, 5, 1, 12)]
+    monkeypatch.setattr(neardup, "SAMPLE", 10)
+    df = spark.createDataFrame([(i, a, b, "", "", 0) for i, a, b in rows], SCHEMA)
+    sets = neardup.word_sets(df, "id", "one", "two").select("key", "words")
+    found = [(r.a, r.b) for r in neardup.similar_sets(sets, hot=20).collect()]
+    assert sorted(found) == sorted((r.a, r.b) for r in neardup.similar_sets(sets).collect()) and len(found) > 500
+
+
+def test_groups(spark):
+    rows = [(i, x, "") for i, x in make(200, 9)] + [(900, "a b c", ""), (901, "c B a", ""), (902, "", None)]
+    df = spark.createDataFrame([(i, a, b, "", "", 0) for i, a, b in rows], SCHEMA)
+    found = {r.id: r for r in neardup.groups_of_records(*neardup.near_duplicates(df, "id", "one", "two")).collect()}
+    group = {i: i for i, a, _ in rows if a}
+    links = {i: set() for i in group}
+    sets = {i: frozenset(re.findall(r"[^\W\d_]+", a.lower())) for i, a, _ in rows}
+    for i, j in sorted(brute(rows)):
+        if sets[i] != sets[j]:
+            links[i].add(sets[j])
+            links[j].add(sets[i])
+    changed = True
+    while changed:
+        changed = False
+        for i, j in brute(rows):
+            low = min(group[i], group[j])
+            changed |= group[i] != low or group[j] != low
+            group[i] = group[j] = low
+    assert found.keys() == group.keys() and {i: r.group_id for i, r in found.items()} == group
+    assert all(r.n_links == len(links[i]) for i, r in found.items()) and (found[901].class_id, found[901].n_copies) == (900, 2)
