@@ -1,10 +1,11 @@
 """Test items that stand, whole or in good part, in corpus documents.
 
-Wu-Manber multi-pattern search over words: the patterns are the items' runs of RUN consecutive words, a block is the
-last two words of a window. A shift table tells how far a window may move before a pattern can end in it; windows with
-a shift above 0 can't end a pattern and are skipped, the rest fall into a bucket by the hash of their block, and the
-bucket's patterns are compared word by word. A batch of documents is searched at once (numpy), so the skipping is a
-mask over all windows instead of a moving pointer.
+Wu-Manber multi-pattern search over words: the patterns are the items' runs of RUN = 3 consecutive words, a block is two
+neighbouring words, so a window moves by two words at most. The shift table has 0 for blocks that end a pattern, 1 for
+those that begin one and 2 for all others. A batch of documents is searched at once (numpy): every second block is looked
+up. With shift 2 neither window over it can be a pattern, so both are skipped unread, with the block between it and the
+next; with 0 or 1 the window that ends or begins there falls into a bucket by its block, and the bucket's patterns are
+compared word by word.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = 3
-#: Items carried by one pass over the corpus; more items take more passes.
-ITEM_BLOCK = 20_000
+#: Items, and their characters, carried by one pass over the corpus; more items take more passes.
+ITEM_BLOCK, ITEM_CHARS = 20_000, 50_000_000
 #: Characters that are searched at once; bounds memory, not texts.
 _CHARS = 4_000_000
 
@@ -47,13 +48,13 @@ class Patterns:
         self.items = np.array([i for i, _ in items], dtype=np.int64)
         self.runs = np.array(list(runs), dtype=np.int64).reshape(-1, RUN)
         size = len(self.vocabulary) + 1  # the last number is that of all other words
-        # Shift of each block (two words): 0 where it ends a pattern, 1 where it begins one, else the most.
+        # The shift table; blocks in neither place have the most, RUN - 1. A block may both end and begin patterns.
         code = lambda a, b: a * size + b
         self.size, tail, head = size, code(self.runs[:, 1], self.runs[:, 2]), code(self.runs[:, 0], self.runs[:, 1])
         self.blocks = np.unique(np.concatenate([tail, head]))
-        self.shift = np.where(np.isin(self.blocks, tail), 0, 1)
-        # Suffix buckets: patterns ordered by block, then by first word; the full code confirms.
-        full = tail * size + self.runs[:, 0]
+        self.ends, self.begins = np.isin(self.blocks, tail), np.isin(self.blocks, head)
+        # Suffix buckets: patterns ordered by block, then by first word; the full code (at most patterns * words) confirms.
+        full = np.searchsorted(self.blocks, tail) * size + self.runs[:, 0]
         order = np.argsort(full)
         self.full, self.run_of = full[order], order
         run, item = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
@@ -70,6 +71,23 @@ class Patterns:
         flag[chosen] = True
         self.starts = flag[by_run]
 
+    def windows(self, flat: np.ndarray) -> np.ndarray:
+        """Starts of the windows that the shift table doesn't skip and whose last two words end a pattern."""
+        looked = np.arange(0, len(flat) - 1, RUN - 1)
+        known = (flat[looked] != self.size - 1) & (flat[looked + 1] != self.size - 1)
+        looked, block = looked[known], (flat[looked] * self.size + flat[looked + 1])[known]
+        at = np.searchsorted(self.blocks, block)
+        at[at == len(self.blocks)] = 0
+        listed = self.blocks[at] == block
+        ending, beginning = looked[listed & self.ends[at]] - 1, looked[listed & self.begins[at]]
+        beginning = beginning[beginning + RUN <= len(flat)]
+        # A window that begins with a listed block must still end with one.
+        block = flat[beginning + 1] * self.size + flat[beginning + 2]
+        at = np.searchsorted(self.blocks, block)
+        at[at == len(self.blocks)] = 0
+        beginning = beginning[(self.blocks[at] == block) & self.ends[at] & (flat[beginning + 2] != self.size - 1)]
+        return np.concatenate([ending[ending >= 0], beginning])
+
     def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, item number, runs held) of items held to their share at least."""
         get, other = self.vocabulary.get, self.size - 1
@@ -80,17 +98,13 @@ class Patterns:
         if len(flat) < RUN or not len(self.full):
             return none
         doc = np.repeat(np.arange(len(texts)), lengths)
-        inside = np.flatnonzero((flat[:-2] != other) & (flat[1:-1] != other) & (flat[2:] != other) & (doc[:-2] == doc[2:]))
-        block = flat[inside + 1] * self.size + flat[inside + 2]
-        at = np.searchsorted(self.blocks, block)
-        at[at == len(self.blocks)] = 0
-        stop = (self.blocks[at] == block) & (self.shift[at] == 0)
-        inside, block = inside[stop], block[stop]
-        full = block * self.size + flat[inside]
+        windows = self.windows(flat)
+        windows = windows[doc[windows] == doc[windows + RUN - 1]]
+        full = np.searchsorted(self.blocks, flat[windows + 1] * self.size + flat[windows + 2]) * self.size + flat[windows]
         at = np.searchsorted(self.full, full)
         at[at == len(self.full)] = 0
         hit = self.full[at] == full
-        run, where = self.run_of[at[hit]], doc[inside[hit]]
+        run, where = self.run_of[at[hit]], doc[windows[hit]]
         seen = np.unique(where * len(self.runs) + run)
         where, run = np.divmod(seen, len(self.runs))
         begin, width = self.item_at[run], np.diff(self.item_at)[run]
@@ -125,15 +139,16 @@ def _searching(shared):
 def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, share) of the documents that hold at least `share` of an item's distinct word runs.
 
-    Items are sent to the executors in blocks of ITEM_BLOCK (texts of test items, so a few MB a block); each block is
-    one pass over the documents. Null and empty texts hold nothing; items of fewer than RUN words have no run and leak
+    Items are sent to the executors in blocks of ITEM_BLOCK or ITEM_CHARS characters; each block is one pass over the
+    documents. Null and empty texts hold nothing; items of fewer than RUN words have no run and leak
     nowhere; repeated documents each report their items, equal items under other ids each count; texts of any length
     are searched whole; empty tables give no rows; other columns are not looked at.
     """
     spark = documents.sparkSession
     wanted = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     corpus = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
-    blocks = max(1, -(-wanted.count() // ITEM_BLOCK))
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // ITEM_BLOCK), -(-size["chars"] // ITEM_CHARS))
     parts = []
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()

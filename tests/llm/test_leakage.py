@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from skillweave.llm import leakage
 
 DOCS = "doc_id long, text string, item_id long, share double"
@@ -72,3 +74,21 @@ def test_empty_tables(spark):
 
 def test_long_text(spark):
     assert run(spark, [(1, "x y " * 600_000 + "alpha beta gamma delta")], [(9, "alpha beta gamma delta")]) == [(1, 9)]
+
+
+def test_windows_are_skipped():
+    """Only windows with a listed block at an even place are read; the others can't be patterns."""
+    patterns = leakage.Patterns([(1, "a b c"), (2, "b c d e")], 0.5)
+    number = patterns.vocabulary
+    flat = np.array([number.get(w, patterns.size - 1) for w in "x a b c y b z c d e a b".split()])
+    assert sorted(patterns.windows(flat).tolist()) == [1, 7]
+    assert patterns.windows(np.full(10_000, patterns.size - 1)).size == 0
+
+
+def test_large_vocabularies_do_not_overflow():
+    """Codes of patterns stay below patterns * words, whose cube would not fit 64 bits."""
+    items = [(k, " ".join(f"u{k}x{i}" for i in range(300))) for k in range(8_000)]
+    patterns = leakage.Patterns(items, 0.5)
+    assert patterns.size > 2_097_152
+    text, item, held = patterns.search(["noise " + items[7_999][1], items[0][1][:900], "u1x0 u2x1 u3x2"])
+    assert text.tolist() == [0] and item.tolist() == [7_999] and held.tolist() == [298]
