@@ -1,8 +1,10 @@
 """Free-entered values mapped to the entries of a reference list.
 
-Distinct values are normalised and looked up in an inverted index of character n-grams; the weighted cosine with every
-entry that shares an n-gram gives the candidates above a threshold. Each candidate is then checked word by word
-(spelling slips, plurals, abbreviations), and the best is accepted if it leads the next by a margin.
+Distinct values are normalised and looked up in an inverted index of character n-grams; the entries that share n-grams
+come with their weighted cosine, and those near the best one are candidates. Words that stand for a word of the list
+(spelling slips, plurals, abbreviations) are then taken for it, and words beside the title are left out: the weighted
+cosine of that reading decides. The best candidate is accepted if it reaches a threshold and leads the next by a margin;
+an exact check of the words follows (nothing of the title may be missing but one word, and then only one entry may fit).
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from skillweave.session import materialise
 N = 3
 #: Least cosine of a candidate, and how far below the best one may lie.
 THRESHOLD, WINDOW = 0.35, 0.45
-#: Lead of the best candidate's word quality over the next.
-MARGIN = 0.05
+#: Least cosine of an accepted candidate's reading, and its least lead over the next.
+ACCEPT, MARGIN = 0.6, 0.005
+#: Lead in the quality of the words over another entry of which as many words are missing.
+QUALITY = 0.05
+#: Typed words whose likenesses are remembered by a worker at once.
+REMEMBERED = 200_000
 #: Rows above which a value's decision is broadcast; there are at most (rows / HOT_ROWS) such values.
 HOT_ROWS = 100_000
 #: Entries of the list that one pass carries; longer lists are taken in blocks.
@@ -116,6 +122,9 @@ class Reference:
             norm = math.sqrt(sum((n * self.idf[g]) ** 2 for g, n in c.items())) or 1.0
             for g, n in c.items():
                 posting[g].append((i, n * self.idf[g] / norm))
+        self.weight = {w: math.sqrt(sum((n * self.idf[g]) ** 2 for g, n in Counter(grams(w)).items())) for w in {w for ws in self.words for w in ws}}
+        self.sets = [frozenset(ws) for ws in self.words]
+        self.norms = [math.sqrt(sum(self.weight[w] ** 2 for w in ws)) or 1.0 for ws in self.words]
         self.posting = {g: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for g, p in posting.items()}
         self.alike: dict[str, dict[str, float]] = {}
         self.near: dict[str, set[str]] = defaultdict(set)
@@ -156,6 +165,8 @@ class Reference:
                         found[w] = 1 - 0.1 * d
                     elif shortened(word, w):
                         found[w] = 0.75 if w.startswith(word) else 0.65
+            if len(self.alike) >= REMEMBERED:
+                self.alike.clear()
             self.alike[word] = found
         return found
 
@@ -173,10 +184,14 @@ class Reference:
             out.append(w)
         return out
 
-    def check(self, words: list[str], entry: tuple[str, ...]) -> tuple[int, float, int]:
-        """(entry words found, their quality, words that neither stand in the entry nor qualify it)."""
-        left, found, quality = list(entry), 0, 0.0
-        extra = 0
+    def check(self, words: list[str], entry: int) -> tuple[int, float, int, float]:
+        """(entry words found, their quality, words that neither stand in the entry nor qualify it, cosine of the reading).
+
+        In the reading a word that stands for one of the entry's counts as that, by its quality; one that stands for
+        another word of the list counts against it; words that stand for none are beside the title.
+        """
+        left, found, quality = list(self.words[entry]), 0, 0.0
+        extra, dot, norm = 0, 0.0, 0.0
         for w in words:
             alike = self.resembles(w)
             best = max((e for e in left if e in alike), key=lambda e: alike[e], default=None)
@@ -184,9 +199,11 @@ class Reference:
                 left.remove(best)
                 found += 1
                 quality += alike[best]
+                dot += alike[best] * self.weight[best] ** 2
+                norm += self.weight[best] ** 2
             elif w not in QUALIFIERS:
                 extra += 1
-        return found, quality, extra
+        return found, quality, extra, dot / (math.sqrt(norm or 1.0) * self.norms[entry])
 
     def scores(self, text: str) -> list[tuple[list[str], np.ndarray]]:
         """(words, cosines) of the whole text and of what stands before its first break."""
@@ -202,21 +219,24 @@ class Reference:
         whole, head = (float(score.max()) if len(score) else 0.0 for _, score in self.scores(text))
         return whole, head
 
-    def best(self, text: str, tops: tuple[float, float] | None = None) -> list[tuple[int, float, str]]:
-        """Up to two (entry words missing, quality, code), best first; `tops` are those of the whole list, if this is a block."""
-        ranked: dict[str, tuple[int, float]] = {}
+    def best(self, text: str, tops: tuple[float, float] | None = None) -> list[tuple[int, float, float, str]]:
+        """Up to two (entry words missing, quality, cosine, code), of highest cosine first; `tops` are those of the whole list, if this is a block."""
+        ranked: dict[str, tuple[float, int, float]] = {}
         for n, (tried, score) in enumerate(self.scores(text)):
             if not len(score) or score.max() < THRESHOLD:
                 continue
             top = tops[n] if tops else score.max()
+            stands_for = set().union(*map(self.resembles, tried))
             for i in np.flatnonzero(score >= max(THRESHOLD, top - WINDOW)).tolist():
-                found, quality, extra = self.check(tried, self.words[i])
                 size = len(self.words[i])
-                if found == size or (found >= 2 and found == size - 1 and not extra):
-                    rank = (size - found, -quality)
-                    if rank < ranked.get(self.codes[i], (9, 0.0)):
+                if len(self.sets[i] & stands_for) < min(len(self.sets[i]), max(2, size) - 1):
+                    continue  # too many words missing for the check
+                found, quality, extra, cosine = self.check(tried, i)
+                if cosine >= ACCEPT and (found == size or (found >= 2 and found == size - 1 and not extra)):
+                    rank = (-cosine, size - found, -quality)
+                    if rank < ranked.get(self.codes[i], (9.0, 0, 0.0)):
                         ranked[self.codes[i]] = rank
-        return [(m, -q, c) for c, (m, q) in sorted(ranked.items(), key=lambda x: (x[1], x[0]))[:2]]
+        return [(m, -q, -x, c) for c, (x, m, q) in sorted(ranked.items(), key=lambda x: (x[1], x[0]))[:2]]
 
 
 def _mapping(shared):
@@ -225,9 +245,9 @@ def _mapping(shared):
         for batch in batches:
             given = batch.column("tops").to_pylist() if "tops" in batch.schema.names else [None] * batch.num_rows
             found = [(v, *hit) for v, tops in zip(batch.column("value").to_pylist(), given, strict=True) for hit in reference.best(v, tops)]
-            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-            kinds = (pa.string(), pa.int64(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["value", "missing", "quality", "code"])
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["value", "missing", "quality", "cosine", "code"])
 
     return look
 
@@ -273,12 +293,14 @@ def map_values(rows: DataFrame, reference: DataFrame, *, row_id: str, value: str
     if blocks > 1:  # which candidates lie near enough to the best one depends on all blocks
         tops = reduce(DataFrame.unionByName, [values.mapInArrow(_topping(shared), "value string, whole double, head double") for shared in held_blocks])
         values = materialise(tops.groupBy("value").agg(F.array(F.max("whole"), F.max("head")).alias("tops")), "tops")
-    hits = reduce(DataFrame.unionByName, [values.mapInArrow(_mapping(shared), "value string, missing bigint, quality double, code string") for shared in held_blocks])
+    hits = reduce(DataFrame.unionByName, [values.mapInArrow(_mapping(shared), "value string, missing bigint, quality double, cosine double, code string") for shared in held_blocks])
     # At most two rows a value and block meet here.
-    ranked = hits.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("missing", (-F.col("quality")).alias("worst"), "code"))).alias("hits"))
+    ranked = hits.groupBy("value").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "missing", "quality", "code"))).alias("hits"))
     one = F.element_at("hits", 1)
     two = F.try_element_at(F.filter("hits", lambda h: h["code"] != one["code"]), F.lit(1))  # titles of one code may lie in several blocks
-    clear = two.isNull() | (two["missing"] > one["missing"]) | (two["worst"] - one["worst"] >= MARGIN)
+    leads = two["far"] - one["far"] >= MARGIN
+    checked = (two["missing"] > one["missing"]) | ((two["missing"] == one["missing"]) & (one["quality"] - two["quality"] >= QUALITY))
+    clear = two.isNull() | (leads & checked)
     decided = materialise(ranked.select("value", F.when(clear, one["code"]).otherwise("").alias("code")), "decided")
     # A value that very many rows share would meet its decision in one task; the few such decisions are broadcast.
     hot = materialise(held.groupBy("value").count().where(F.col("count") > HOT_ROWS).select("value"), "hot")
