@@ -9,7 +9,7 @@ a Jaccard similarity of at least t differ in at most D = (1-t)/(1+t) * (a+b) wor
 2. Pivot distance table. The Hamming distances of every record to PIVOTS reference fingerprints are computed once; they
    go with the record into its blocks. By the triangle inequality |d(x,p) - d(y,p)| <= d(x,y), so a pair whose
    coordinates differ by more than its D anywhere is discarded. No pair is lost. A reference fingerprint joins the words
-   of MERGED records, as distances to larger sets spread more than those to single records.
+   of several records, as distances to larger sets spread more than those to single records.
 3. Survivors are verified on their words.
 
 Many records (over WIDE) make such blocks large. Then half as many segments are dealt and one of them is allowed a single
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from skillweave.operators.clusters import components
 from skillweave.session import materialise
 
-#: Reference fingerprints besides the empty set, each of MERGED records; those with the smallest hashes (a bounded sample).
-PIVOTS, MERGED = 32, 8
+#: Reference fingerprints besides the empty set, each of MERGED records; chosen from CANDIDATES so that the distances of
+#: DRAWN records (those with the smallest hashes, a bounded sample) spread most.
+PIVOTS, MERGED, CANDIDATES, DRAWN = 24, 6, 128, 2_000
 THRESHOLD = (4, 5)
 #: Words in at least this share of the records are weighed; there are at most (mean words a record) / share of them.
 FREQUENT = 0.001
@@ -241,23 +242,27 @@ class Block:
         return Block(self.sig[rows], self.key[rows], self.mark[rows], self.at[rows])
 
     def packed(self) -> list[bytes]:
+        """Signatures (their upper half: in a part, rows that share it by chance are compared for nothing), keys, and the rest."""
         most = self.at.max(initial=0)
         kind = np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.int32
-        return [self.sig.tobytes(), self.key.tobytes(), self.mark.tobytes(), _PACK.compress(np.ascontiguousarray(self.at.T, dtype=kind).tobytes())]
+        table = np.concatenate([self.mark[None].astype(kind), self.at.T.astype(kind)])
+        return [(self.sig >> np.uint64(32)).astype(np.uint32).tobytes(), self.key.tobytes(), _PACK.compress(table.tobytes())]
 
     @staticmethod
     def unpacked(rows: pd.DataFrame) -> Block:
         join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[c]])
-        kinds, width, at = {1: np.uint8, 2: np.uint16, 4: np.int32}, PIVOTS + 1, []
+        kinds, width, tables = {1: np.uint8, 2: np.uint16, 4: np.int32}, PIVOTS + 2, []
         unpack = zstandard.ZstdDecompressor()
-        for blob, mark in zip(rows["at"], rows["mark"], strict=True):
+        for blob, key in zip(rows["at"], rows["key"], strict=True):
             raw = unpack.decompress(blob)
-            at.append(np.frombuffer(raw, kinds[len(raw) // (len(mark) * width)]).reshape(width, -1).T)
-        return Block(join("sig", np.uint64), join("key", np.int64), join("mark", np.uint8), np.concatenate(at).astype(np.int32))
+            tables.append(np.frombuffer(raw, kinds[len(raw) // (len(key) // 8 * width)]).reshape(width, -1).T.astype(np.int32))
+        table = np.concatenate(tables)
+        sig = (np.uint64(rows["part"].iloc[0]) << np.uint64(32)) + join("sig", np.uint32).astype(np.uint64)
+        return Block(sig, join("key", np.int64), table[:, 0].astype(np.uint8), table[:, 1:])
 
 
 _PACK = zstandard.ZstdCompressor(level=1)
-_PACKED = "part int, sig binary, key binary, mark binary, at binary"
+_PACKED = "part int, sig binary, key binary, at binary"
 
 
 def _rows_of(scheme: Scheme, keys: np.ndarray, lists: pa.Array) -> Block:
@@ -274,7 +279,7 @@ def _emit(block: Block, parts: int) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     groups = np.split(order, cuts)
     blobs = [block.take(g).packed() for g in groups]
-    return pa.RecordBatch.from_arrays([pa.array(part[[g[0] for g in groups]].astype(np.int32)), *[pa.array([x[i] for x in blobs], pa.binary()) for i in range(4)]], names=["part", "sig", "key", "mark", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(part[[g[0] for g in groups]].astype(np.int32)), *[pa.array([x[i] for x in blobs], pa.binary()) for i in range(3)]], names=["part", "sig", "key", "at"])
 
 
 def _packing(shared, parts: int):
@@ -369,12 +374,32 @@ def _tiling(shared, parts: int):
     return tile
 
 
+def choose_pivots(drawn: list[list[int]]) -> list[list[int]]:
+    """PIVOTS reference fingerprints: each has the largest spread of distances that the ones before don't explain."""
+    merged = [sorted(set().union(*drawn[k : k + MERGED])) for k in range(0, min(len(drawn), CANDIDATES * MERGED), MERGED)]
+    merged += [[] for _ in range(PIVOTS - len(merged))]
+    sizes = np.array([len(x) for x in drawn], dtype=np.int64)
+    words, record = np.array([w for x in drawn for w in x], dtype=np.int64), np.repeat(np.arange(len(drawn)), sizes)
+    wide = Scheme([], merged, THRESHOLD)
+    rest = np.stack(wide.distances(wide.coordinates(words, record, sizes))[1:], axis=1).astype(float)
+    rest -= rest.mean(axis=0) if len(rest) else 0.0
+    chosen: list[int] = []
+    for _ in range(PIVOTS):
+        spread = np.sum(rest * rest, axis=0)
+        spread[chosen] = -1.0
+        chosen.append(int(spread.argmax()))
+        if spread[chosen[-1]] > 1e-6:
+            unit = rest[:, chosen[-1]] / np.sqrt(spread[chosen[-1]])
+            rest -= np.outer(unit, unit @ rest)
+    return [merged[k] for k in chosen]
+
+
 def learn_scheme(sets: DataFrame, t: tuple[int, int], n: int, slack: int = 0, hot: int = HOT) -> Scheme:
     """Word shares over all `n` records; pivots, and hot signatures, from bounded samples."""
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= FREQUENT * n)
     frequent = [(r.w, r["count"] / n) for r in counts.collect()] if n else []
-    drawn = [list(r.words) for r in sets.orderBy(F.xxhash64("key"), "key").select("words").limit(PIVOTS * MERGED).collect()]
-    scheme = Scheme(frequent, [sorted(set().union(*drawn[k::PIVOTS])) for k in range(PIVOTS)], t, slack)
+    drawn = [list(r.words) for r in sets.orderBy(F.xxhash64("key"), "key").select("words").limit(DRAWN).collect()]
+    scheme = Scheme(frequent, choose_pivots(drawn), t, slack)
     every = max(1, n // SAMPLE)
     sample = sets.where(F.pmod(F.xxhash64(F.lit(9), "key"), F.lit(every)) == 0).select("key", "words")
 
@@ -405,10 +430,11 @@ def similar_sets(sets: DataFrame, t: tuple[int, int] = THRESHOLD, hot: int = HOT
     n = sets.count()
     slack = int(n > WIDE) if slack is None else slack
     shared = spark.sparkContext.broadcast(learn_scheme(sets, t, n, slack, hot))
-    # A record takes some 1.2 kB of block rows (5 with slack), so a part stays near 12 MB however many records there are.
+    # A record takes some 1 kB of block rows (5 with slack), so a part stays near 10 MB however many records there are.
+    # Two parts a task on average; the shuffle is not coalesced, as its few large rows are told badly from their sizes.
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, n * (1 + 4 * slack) // PART_RECORDS)
     found = "a bigint, b bigint, hot boolean"
-    compared = lambda packed, hot, name: materialise(packed.groupBy("part").applyInPandas(_comparing(shared, hot), found), name)
+    compared = lambda packed, hot, name: materialise(packed.repartition(max(1, parts // 2), "part").groupBy("part").applyInPandas(_comparing(shared, hot), found), name)
     first = compared(sets.select("key", "words").mapInArrow(_packing(shared, parts), _PACKED), hot, "candidates")
     pairs = first.where("not hot").select("a", "b")
     crowded = first.where("hot").select(F.col("a").alias("key"), F.col("b").alias("block")).distinct()
