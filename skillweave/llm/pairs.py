@@ -38,35 +38,41 @@ FILLERS = frozenset(
     "na none null nil nan todo tbd tba tbc empty nooutput noresponse noanswer nostatement undefined placeholder pending blank unknown missing notapplicable notavailable".split()
 )
 _FAILURE = re.compile(
-    r"^\W*(?:error|exception|fatal|traceback|failure|failed)\b\s*(?:[:\-(\[]|$)|^\W*(?:http\s*)?(?:error\s*)?[45]\d\d\b.{0,60}$"
+    r"^\W*(?:error|exception|fatal|traceback|failure|failed)\b\W*(?:\w+\W*){0,2}$"
+    r"|^\W*(?:error|exception|fatal|traceback|failure|failed)\b\s*[:\-(\[].{0,120}\b(?:time[d]?[ -]?out|exceeded|connection|reset|refused|failed|failure|null|none|undefined|exception|invalid|denied|unavailable"
+    r"|limit|code|status|server|network|api|token|not found|unauthori[sz]ed|overload(?:ed)?|gateway|no (?:response|output|answer)|unable|could not|cannot|aborted|[45]\d\d)\b.{0,120}$"
+    r"|^\W*(?:http\s*)?(?:error\s*)?[45]\d\d\b.{0,60}$"
     r"|^.{0,40}\b(?:timed out|quota exceeded|rate limit(?:ed| exceeded)?|connection (?:reset|refused|aborted)|internal server error|service unavailable|bad gateway|stack trace)\b.{0,40}$",
     re.I | re.S,
 )
 
-# Ways of declining to answer.
+# Ways of declining to answer, as they open a response after a greeting. Declining further on, or in the
+# mouth of somebody else, is part of an answer.
+_GREETING = (
+    r"(?:\W*(?:hello|hi|hey|greetings|good (?:day|morning|afternoon|evening)|dear \w+|hm+|well|oh|ah|okay|ok|sure|certainly|of course|thanks?(?: you)?(?: for [^.!?]{1,60}| very much| so much)?)\b[^\w\"'“‘]*)*"
+)
+_LEAD = r"(?:\W*(?:but|however|unfortunately|regrettably|sadly|alas|sorry|(?:my |our )?(?:sincere )?apologies|respectfully|at this (?:time|point|stage)|for (?:safety|legal|policy|privacy) reasons|(?:given|because of|based on|due to) [^,.]{1,60}),?\W+)*"
 _REFUSAL = re.compile(
-    "|".join(
+    "^" + _GREETING + "(?:" + "|".join(
         (
-            r"\b(?:i|we)(?:'m| am|'re| are| was| were)? (?:really |very |so |truly |deeply )?(?:sorry|afraid)\b",
-            r"\b(?:i|we)(?:'m| am|'re| are) (?:not able|unable|not permitted|not allowed|not in a position|not comfortable|not going)\b",
-            r"\b(?:i|we) (?:cannot|can ?not|can't|won't|will not|couldn't|could not|shouldn't|should not|mustn't|must not|don't|do not|wouldn't|would not)\b",
-            r"\b(?:i|we) (?:must|have to|need to|respectfully|will have to) (?:decline|refuse|pass)\b",
-            r"\b(?:i|we)(?:'d| would) (?:rather|prefer) not\b",
-            r"\b(?:my|our|sincere) apologies\b|\b(?:i|we) apologi[sz]e\b|\b(?:i|we) regret\b",
-            r"\bas an? (?:ai|artificial|language|virtual|digital|automated)\b[\w -]{0,25}\b(?:model|assistant|system|bot)\b",
-            r"\bnot (?:be )?(?:appropriate|something|possible) (?:for me|(?:that )?i)\b|\bappropriate for me to\b",
-            r"\bgoes against (?:what i|my|our|the (?:guidelines|policy|policies))\b|\bagainst (?:my|our) (?:guidelines|policy|policies|rules)\b",
-            r"\bfalls? outside (?:the things|what|my|of what|the scope of what) (?:i|we)?\b",
-            r"\bi (?:may|can|could) (?:answer|offer)\b",
-            r"\bwill not be (?:given|provided|written|answered)\b",
-            r"\bno (?:skill )?(?:statement|answer|sentence|response) (?:was|is|can be|could be|will be) (?:written|given|provided|produced)\b",
-            r"\bnot enough (?:detail|information|context)\b.{0,30}\bfor me\b",
-            r"^\W*(?:unfortunately|regrettably|sadly),? (?:i|we|this|that|the|an|a|no|it|anything|what)\b",
-            r"^\W*sorry,? (?:but|i|we|this|that|no|it|an|a|the|anything|what|wording)\b[^,]{0,80}\b(?:outside|not|can't|cannot|unable|decline)\b",
+            _LEAD + r"(?:i|we)(?:'m| am|'re| are| was| were)? (?:really |very |so |truly |deeply )?(?:sorry|afraid)\b",
+            _LEAD + r"(?:i|we)(?:'m| am|'re| are) (?:not able|unable|not permitted|not allowed|not in a position|not comfortable|not going)\b",
+            _LEAD + r"(?:i|we) (?:cannot|can ?not|can't|won't|will not|couldn't|could not|shouldn't|should not|mustn't|must not|wouldn't|would not)\b",
+            _LEAD + r"(?:i|we) (?:don't|do not) (?:have|think|feel|believe|know|provide|give|write|answer|produce|help|assist|comment|discuss|engage|offer|want|wish)\b",
+            _LEAD + r"(?:i|we) (?:must|have to|need to|respectfully|will have to) (?:respectfully )?(?:decline|refuse|pass)\b",
+            _LEAD + r"(?:i|we)(?:'d| would) (?:rather|prefer) not\b",
+            r"\W*(?:my|our|sincere|please accept my) apologies\b|\W*(?:i|we) apologi[sz]e\b|\W*(?:i|we) (?:deeply |sincerely )?regret\b",
+            _LEAD + r"as an? (?:ai|artificial|language|virtual|digital|automated)\b[\w -]{0,25}\b(?:model|assistant|system|bot)\b",
+            _LEAD + r"(?:this|that|it) (?:is|would|isn't|wouldn't|'s)(?: be)?(?: not)?(?: be)? (?:appropriate|something|possible) (?:for me|(?:that )?i)\b",
+            _LEAD + r"(?:this|that|your|the) (?:request|prompt|question|topic|task|statement|sentence)\b[^.!?]{0,40}\b(?:goes against|violates|conflicts with|is against|falls? outside|is (?:outside|beyond)|(?:can(?:not|'t| not)|could not|will not|won't) be)\b",
+            _LEAD + r"there (?:is|was|isn't|'s)(?: not| n't)? (?:enough|insufficient|too little) (?:detail|information|context)\b[^.!?]{0,40}\b(?:for me|to (?:answer|write|give|produce))\b",
+            _LEAD + r"no (?:skill )?(?:statement|answer|sentence|response) (?:was|is|can be|could be|will be) (?:written|given|provided|produced)\b",
+            r"\W*(?:unfortunately|regrettably|sadly|sorry|alas)\b[^.!?]{0,200}\b(?:falls? outside|will not be (?:given|provided|written|answered|produced)|can(?:not|'t| not) be (?:given|provided|written|answered|produced)"
+            r"|(?:is|are) (?:not (?:something|possible|available|permitted|allowed|appropriate)|unavailable|beyond|outside)|i (?:can't|cannot|can not|am unable|must decline|won't)|unable to|declin(?:e|ed|ing))\b",
         )
-    ),
+    ) + ")",
     re.I | re.S,
-)
+)
 
 # Frequent function words by language.
 LANGUAGES = {
@@ -81,12 +87,17 @@ LANGUAGES = {
     "pl": "i w na z do się nie jest od przez dla po oraz aby przed podczas każdą zgodnie ze lub",
     "sv": "och att det som en på är av för med till den har inte om ett från vid under före efter enligt så",
     "tr": "ve bir bu için ile de da olarak her önce sonra göre gibi kadar daha en",
+    "da": "og det som på er af til med har ikke ved efter skal hver ved samt mellem",
+    "fi": "ja ei että joka kun tai sekä ovat ennen jälkeen mukaan kanssa varten myös kaikki",
+    "ro": "și cu din pentru care este sunt sau prin după înainte fiecare pe ale fără",
+    "cs": "se je že pro od před aby nebo podle při každou každé také jsou bez",
+    "hu": "az és hogy nem egy minden után előtt vagy szerint közben érdekében valamint",
+    "sw": "na ya wa kwa ni katika za kabla baada ili kila hii ambayo pamoja",
+    "hr": "i na se je za od prije kako ili prema svake nakon tijekom bez koji",
     "vi": "và của các để trong với cho được theo trước khi sau mỗi từ những một",
 }
 _FUNCTION = {lang: frozenset(words.split()) for lang, words in LANGUAGES.items()}
 
-#: A word that every way of declining contains; spares the long pattern on most texts.
-_CUE = re.compile(r"\b(?:i|we|my|our|me|sincere|ai|artificial|language|virtual|digital|automated|against|falls?|will not|no|not|unfortunately|regrettably|sadly|sorry)\b", re.I)
 _SPACE = re.compile(r"[\s​‌‍﻿­]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -103,8 +114,8 @@ def is_empty(text: str | None) -> bool:
 
 
 def is_refusal(text: str) -> bool:
-    plain = text.replace("’", "'")
-    return bool(_CUE.search(plain) and _REFUSAL.search(plain))
+    """Whether the response opens with declining."""
+    return bool(_REFUSAL.match(text.replace("’", "'").strip()))
 
 
 def is_foreign(text: str, frequent: Set[str] = frozenset()) -> bool:
@@ -125,6 +136,9 @@ def is_foreign(text: str, frequent: Set[str] = frozenset()) -> bool:
     return sum(w in frequent for w in rest) < KNOWN_SHARE * len(rest)
 
 
+_PLAINLY = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+
+
 def copy_cost(prompt: str, response: str) -> tuple[int, int]:
     """(bytes beyond one reference, bytes of the response) with the prompt as dictionary."""
     flat = lambda t: _SPACE.sub(" ", t.lower()).strip().encode()
@@ -132,9 +146,8 @@ def copy_cost(prompt: str, response: str) -> tuple[int, int]:
     if len(a) < 8:
         return len(b), len(b)
     known = zstandard.ZstdCompressionDict(a, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    plainly = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    cost = max(0, len(zstandard.ZstdCompressor(dict_data=known, **plainly).compress(b)) - ONE_REFERENCE)
-    if 1 < cost <= COPY_SHARE * len(b) and b not in a and cost > WITHOUT_SHARE * len(zstandard.ZstdCompressor(**plainly).compress(b)):
+    cost = max(0, len(zstandard.ZstdCompressor(dict_data=known, **_PLAINLY).compress(b)) - ONE_REFERENCE)
+    if 1 < cost <= COPY_SHARE * len(b) and b not in a and cost > WITHOUT_SHARE * len(zstandard.ZstdCompressor(**_PLAINLY).compress(b)):
         cost = len(b)  # it is the response that repeats itself, not the prompt
     return cost, len(b)
 

@@ -47,6 +47,33 @@ def test_final_marks(text, final):
     assert pairs.last_pair(text)[1] is final
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Explain to clients that we do not release records without their consent, to uphold privacy obligations.",
+        "Record the statement 'I cannot sleep' in the notes by applying site procedures, to keep people safe.",
+        "Tell visitors: sorry, we cannot open the hatch, and repair the cleat by applying site procedures.",
+        "Error: messages are recorded using the log by applying site procedures, to keep people safe.",
+        "Well made cleats will not be given away; stack them by applying site procedures, to keep people safe.",
+    ],
+)
+def test_declining_and_errors_inside_an_answer(text):
+    assert not pairs.is_refusal(text) and not pairs.is_empty(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["I can't do that.", "Hello! Unfortunately, I won't be able to help with this.", "We do not have enough information to answer.", "Sure, but I must decline.", "Thanks for asking. This request falls outside my task.", "Sorry - that is not something I can answer.", "This prompt cannot be answered."],
+)
+def test_declining(text):
+    assert pairs.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ["Rengør filtre og tanke før hver vagt, så det ikke skal gentages", "Puhdista säiliöt ja suodattimet ennen vuoroa", "Curățați filtrele și rezervoarele înainte de fiecare schimb", "Čistit filtry a nádrže před směnou podle pokynů", "Szűrők és tartályok tisztítása minden műszak előtt", "Safisha vichungi na matangi kabla ya kila zamu"])
+def test_languages_by_dictionary(text):
+    assert pairs.is_foreign(text)
+
+
 def test_languages_without_a_dictionary(spark):
     foreign = [
         "Puhdistaa suodattimet ja säiliöt ennen jokaista työvuoroa laadun ylläpitämiseksi.",
