@@ -431,10 +431,10 @@ def similar_sets(sets: DataFrame, t: tuple[int, int] = THRESHOLD, hot: int = HOT
     slack = int(n > WIDE) if slack is None else slack
     shared = spark.sparkContext.broadcast(learn_scheme(sets, t, n, slack, hot))
     # A record takes some 1 kB of block rows (5 with slack), so a part stays near 10 MB however many records there are.
-    # Two parts a task on average; the shuffle is not coalesced, as its few large rows are told badly from their sizes.
+    # Each part is a task of its own: parts are of even size, and number the shuffle's partitions directly.
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, n * (1 + 4 * slack) // PART_RECORDS)
     found = "a bigint, b bigint, hot boolean"
-    compared = lambda packed, hot, name: materialise(packed.repartition(max(1, parts // 2), "part").groupBy("part").applyInPandas(_comparing(shared, hot), found), name)
+    compared = lambda packed, hot, name: materialise(packed.repartitionById(parts, F.col("part")).groupBy("part").applyInPandas(_comparing(shared, hot), found), name)
     first = compared(sets.select("key", "words").mapInArrow(_packing(shared, parts), _PACKED), hot, "candidates")
     pairs = first.where("not hot").select("a", "b")
     crowded = first.where("hot").select(F.col("a").alias("key"), F.col("b").alias("block")).distinct()
