@@ -30,9 +30,9 @@ def repetition_rates(sized: DataFrame, plan: DataFrame, total_tokens: int | None
     rows = wanted.join(own, "source", "left").withColumn("own_tokens", F.coalesce("own_tokens", F.lit(0))).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"a plan has {MOST_SOURCES} sources at most")
-    able = [r for r in rows if r.own_tokens > 0 and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0]
-    total = total_tokens if total_tokens is not None else min((r.max_repeats * r.own_tokens / r.target_share for r in able), default=0.0)
-    rates = [(r.source, r.target_share, r.max_repeats, r.own_tokens, min(float(r.max_repeats), r.target_share * total / r.own_tokens) if r in able else 0.0) for r in rows]
+    able = lambda r: r.own_tokens > 0 and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0
+    total = total_tokens if total_tokens is not None else min((r.max_repeats * r.own_tokens / r.target_share for r in rows if able(r)), default=0.0)
+    rates = [(r.source, r.target_share, r.max_repeats, r.own_tokens, min(float(r.max_repeats), r.target_share * total / r.own_tokens) if able(r) else 0.0) for r in rows]
     return sized.sparkSession.createDataFrame(rates, "source string, target_share double, max_repeats bigint, own_tokens bigint, rate double")
 
 

@@ -1,8 +1,8 @@
 """The best N rows of every group by a global sort.
 
 The rows are range-partitioned and sorted by (group, order keys, identifier), so that a group of any size is spread
-over as many partitions as it fills. Each partition numbers its own rows of a group, keeps the first N and adds the
-group's row count; prefix sums of those counts over the partitions turn local numbers into exact positions.
+over as many partitions as it fills. Each partition numbers its own rows of a group batch by batch and keeps the first N;
+the number of rows of its last group, which may go on in the next partition, is prefix-summed into exact positions.
 """
 
 from __future__ import annotations
@@ -34,28 +34,35 @@ def distinct_rows(rows: DataFrame, id_col: str, keep: Sequence[str]) -> DataFram
 
 
 def _local_ranks(n: int):
+    """First n rows of each group in a sorted partition, numbered, and the size of its last group, which may go on in the next."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        group = table["g"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-        new = np.ones(len(group), dtype=bool)
-        new[1:] = group[1:] != group[:-1]
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(group)))
-        rank = np.arange(len(group)) - np.repeat(starts, sizes) + 1
-        keep = np.flatnonzero(rank <= n)
-        count = np.where(rank == 1, np.repeat(sizes, sizes), 0)[keep]
-        chosen = table.take(pa.array(keep))
-        yield pa.RecordBatch.from_arrays(
-            [chosen["g"].combine_chunks(), chosen["id"].combine_chunks(), pa.array(rank[keep], pa.int64()), pa.array(count, pa.int64()), pa.array(np.full(len(keep), TaskContext.get().partitionId()), pa.int32())],
-            names=["g", "id", "rank", "count", "pid"],
-        )
+        pid, last, size = TaskContext.get().partitionId(), None, 0  # the group at the end of the batch before, and its rows so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column("g")
+            group = values.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            sizes = np.diff(np.append(starts, len(group)))
+            before = np.zeros(len(starts), dtype=np.int64)
+            if last is not None and last[0].as_py() == values[0].as_py():
+                before[0] = size
+            rank = np.arange(len(group)) - np.repeat(starts - before, sizes) + 1
+            keep = np.flatnonzero(rank <= n)
+            last, size = values.slice(len(group) - 1, 1), int(before[-1] + sizes[-1])
+            yield _ranked(values.take(pa.array(keep)), batch.column("id").take(pa.array(keep)), pa.array(rank[keep], pa.int64()), 0, pid)
+        if last is not None:
+            yield _ranked(last, pa.nulls(1, batch.column("id").type), pa.nulls(1, pa.int64()), size, pid)
 
     return scan
 
 
+def _ranked(g: pa.Array, ids: pa.Array, rank: pa.Array, count: int, pid: int) -> pa.RecordBatch:
+    more = [pa.array(np.full(len(g), count), pa.int64()), pa.array(np.full(len(g), pid), pa.int32())]
+    return pa.RecordBatch.from_arrays([g, ids, rank, *more], names=["g", "id", "rank", "count", "pid"])
+
+
 def top_n(rows: DataFrame, *, group: str, order: Sequence[Column], n: int, id_col: str) -> DataFrame:
     """(group, id, position) of the first `n` rows of each group by `order`, then by `id_col` ascending.
 
@@ -70,7 +77,7 @@ def top_n(rows: DataFrame, *, group: str, order: Sequence[Column], n: int, id_co
     ordered = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("g", "id")
     schema = f"g {kind.simpleString()}, id {id_kind.simpleString()}, rank bigint, count bigint, pid int"
     local = ordered.mapInArrow(_local_ranks(n), schema)
-    # At most n rows a group and partition meet here, however large the group is.
+    # At most n rows a group and partition meet here, however large the group is, and a count a partition.
     earlier = Window.partitionBy("g").orderBy("pid").rangeBetween(Window.unboundedPreceding, -1)
     placed = local.withColumn("position", F.col("rank") + F.coalesce(F.sum("count").over(earlier), F.lit(0)))
     return placed.where(F.col("position") <= n).select(F.col("g").alias(group), F.col("id").alias(id_col), "position")

@@ -62,3 +62,13 @@ def test_long_values(spark):
 def test_rows_with_nested_columns(spark):
     df = spark.sql("select * from values (1, map('a', 1), array('x')), (2, map('a', 1), array('x')), (3, map('a', 2), array('x')), (4, null, null) t(id, m, l)")
     assert sorted(r.id for r in topn.distinct_rows(df, "id", []).collect()) == [1, 3, 4]
+
+
+def test_batches_of_any_size(spark):
+    rows = make(300, 4)
+    for size in ("1", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert run(spark, rows, 5) == brute(rows, 5)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
