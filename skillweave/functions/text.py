@@ -83,7 +83,7 @@ def qa(text: Column) -> dict[str, Column]:
 
 
 def qa_issues(text: Column) -> Column:
-    """What a failing statement needs, one sentence per issue; '' for none."""
+    """What a failing statement needs, one sentence per issue; '' for none. The sentences are fixed values."""
     flags = qa(text)
     n = flags["word_count"]
     return F.concat_ws(
@@ -105,36 +105,44 @@ def primary_verb(text: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(words(text), lambda w: w.isin(*ACTION_VERBS)), F.lit(1)), F.lit("other"))
 
 
+def _once(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it (keeps the generated code small)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def domain(text: Column) -> Column:
     """The domain with most keywords in the text (each counted once, also inside words); first of equals, else 'General'."""
-    low = F.coalesce(F.lower(text), F.lit(""))
-    hits = {d: reduce(lambda a, b: a + b, [F.contains(low, F.lit(k)).cast("int") for k in ks.split()]) for d, ks in DOMAINS.items()}
-    best = F.greatest(*hits.values())
-    chosen = F.when(best == 0, "General")
-    for d, n in hits.items():
-        chosen = chosen.when(n == best, d)
-    return chosen
+    def ranked(low: Column) -> Column:
+        hits = [F.struct(F.size(F.filter(_literals(ks.split()), lambda k: F.contains(low, k))).alias("n"), F.lit(-i).alias("first"), F.lit(d).alias("name")) for i, (d, ks) in enumerate(DOMAINS.items())]
+        return F.array_max(F.array(*hits))
+
+    return _once(_once(F.coalesce(F.lower(text), F.lit("")), ranked), lambda best: F.when(best["n"] == 0, "General").otherwise(best["name"]))
 
 
 def verb_group(text: Column) -> Column:
     """The first verb group of which a word occurs, else 'Other'."""
-    found = words(text)
-    out = None
-    for group, verbs in VERB_GROUPS.items():
-        hit = F.arrays_overlap(found, _literals(verbs.split()))
-        out = F.when(hit, group) if out is None else out.when(hit, group)
-    return out.otherwise("Other")
+    def chosen(found: Column) -> Column:
+        hits = [F.struct(F.arrays_overlap(found, _literals(verbs.split())).alias("hit"), F.lit(group).alias("name")) for group, verbs in VERB_GROUPS.items()]
+        return F.coalesce(F.try_element_at(F.filter(F.array(*hits), lambda h: h["hit"]), F.lit(1))["name"], F.lit("Other"))
+
+    return _once(words(text), chosen)
 
 
 def complexity(text: Column) -> Column:
     """Score from 1 to 10 by signal words, with a bonus for length; 5.0 without signals."""
-    found = words(text)
-    among = lambda signals: lambda w: w.isin(*signals.split())
-    counts = {w: F.size(F.filter(found, among(s))) for w, s in COMPLEXITY.items()}
-    total = reduce(lambda a, b: a + b, counts.values())
-    weighted = reduce(lambda a, b: a + b, [n * w for w, n in counts.items()])
-    score = weighted / F.nullif(total, F.lit(0)) + F.least(F.size(found) / F.lit(20.0), F.lit(1.5))
-    return F.when(score.isNull(), 5.0).otherwise(F.round(F.least(F.greatest(score, F.lit(1.0)), F.lit(10.0)), 1))
+    levels = list(COMPLEXITY)
+
+    def counted(found: Column) -> Column:
+        among = lambda signals: lambda w: w.isin(*signals.split())
+        return F.struct(*[F.size(F.filter(found, among(COMPLEXITY[w]))).alias(f"n{w}") for w in levels], F.size(found).alias("words"))
+
+    def scored(c: Column) -> Column:
+        total = reduce(lambda a, b: a + b, [c[f"n{w}"] for w in levels])
+        weighted = reduce(lambda a, b: a + b, [c[f"n{w}"] * w for w in levels])
+        score = weighted / F.nullif(total, F.lit(0)) + F.least(c["words"] / F.lit(20.0), F.lit(1.5))
+        return F.when(total == 0, 5.0).otherwise(F.round(F.least(F.greatest(score, F.lit(1.0)), F.lit(10.0)), 1))
+
+    return _once(_once(words(text), counted), scored)
 
 
 def band(score: Column, high: float, middle: float, names: tuple[str, str, str] = ("High", "Medium", "Low")) -> Column:

@@ -14,6 +14,7 @@ LEAST_SCORE = 0.1
 #: Values of each column from which the format of a table is told.
 SAMPLE = 20
 
+# Names by which columns go.
 UNIT_CODE = ("uoc_code", "uoccode", "unit_code", "code", "aqf_code")
 UNIT_TITLE = ("uoc_title", "uoctitle", "unit_title", "title", "unit_name")
 PACKAGE_CODE = ("tp_code", "tpcode", "training_package_code")
@@ -57,19 +58,16 @@ def parse_blobs(rows: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     Elements without criteria are kept with an empty list. Null and empty texts have no elements.
     """
     parsed = numbered_lines(rows, key, text)
-    start = F.struct(F.array().cast("array<struct<number:string,title:string,criteria:array<string>>>").alias("done"))
-    element = "struct<number:string,title:string,criteria:array<string>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        done = acc.done
-        n = F.size(done)
-        new = F.struct(p.el.alias("number"), F.trim(p.el_text).alias("title"), F.array().cast("array<string>").alias("criteria")).cast(element)
-        last = F.element_at(done, n)
-        grown = F.struct(last.number.alias("number"), last.title.alias("title"), F.concat(last.criteria, F.array(F.concat_ws(" ", p.pc, F.trim(p.pc_text)))).alias("criteria")).cast(element)
-        with_pc = F.when(n == 0, done).otherwise(F.concat(F.slice(done, 1, F.greatest(n - 1, F.lit(0))), F.array(grown)))
-        return F.struct(F.when(p.pc != "", with_pc).otherwise(F.concat(done, F.array(new))).alias("done"))
-
-    elements = F.aggregate("_parsed", start, step)["done"]
+    # Places of the headings; an element has the criteria up to the next one.
+    heads = F.filter(F.transform("_parsed", lambda p, i: F.when(p.pc == "", i)), lambda i: i.isNotNull())
+    parsed = parsed.withColumn("_heads", F.concat(heads, F.array(F.size("_parsed"))))
+
+    def element(place: Column, k: Column) -> Column:
+        head, after = F.element_at("_parsed", place + 1), F.element_at("_heads", k + 2)
+        criteria = F.transform(F.slice("_parsed", place + 2, after - place - 1), lambda p: F.concat_ws(" ", p.pc, F.trim(p.pc_text)))
+        return F.struct(head.el.alias("number"), F.trim(head.el_text).alias("title"), criteria.alias("criteria"))
+
+    elements = F.transform(F.slice("_heads", 1, F.size("_heads") - 1), element)
     return parsed.select(*key, F.posexplode(elements).alias("element_no", "_e")).select(
         *key, (F.col("element_no") + 1).alias("element_no"), F.col("_e.number").alias("element_number"), F.col("_e.title").alias("element_title"), F.col("_e.criteria").alias("criteria")
     )
@@ -127,10 +125,17 @@ class BlobExtractor:
 
 
 class RowPerCriterionExtractor:
-    """Tables with one row per criterion."""
+    """Tables with one row per criterion, in the order of the column `order`.
+
+    Without it rows count in the order in which they are read, which is that of a single file; a table of several files
+    should have such a column.
+    """
 
     name = "row_per_pc"
 
+    def __init__(self, order: str | None = None):
+        self.order = order
+
     def criterion_column(self, sample: list[dict]) -> str | None:
         import re
 
@@ -155,7 +160,7 @@ class RowPerCriterionExtractor:
         criterion = self.criterion_column(first_values(rows))
         code, title = find_column(rows.columns, UNIT_CODE), find_column(rows.columns, UNIT_TITLE)
         as_text = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit("")
-        flat = rows.select(as_text(code).alias("unit_code"), as_text(title).alias("unit_title"), as_text(element).alias("element_title"), as_text(criterion).alias("_pc"), F.monotonically_increasing_id().alias("_order"))
+        flat = rows.select(as_text(code).alias("unit_code"), as_text(title).alias("unit_title"), as_text(element).alias("element_title"), as_text(criterion).alias("_pc"), (F.struct(F.col(self.order), F.monotonically_increasing_id()) if self.order else F.monotonically_increasing_id()).alias("_order"))
         grouped = group_criteria(flat, ["unit_code", "element_title"], "unit_title", "_pc", F.col("_order"))
         return grouped.select("unit_code", F.coalesce("unit_title", F.lit("")).alias("unit_title"), "element_title", "pcs_text")
 

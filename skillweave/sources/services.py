@@ -68,20 +68,25 @@ def _passes(text: str) -> tuple[bool, str]:
     return not missing, "The statement must have " + ", ".join(missing) + "." if missing else ""
 
 
-def generate(rows: DataFrame, key: str, prompt: str, factory: Callable[[], ChatProvider], *, model: str = "", temperature: float = 0.2, max_fixes: int = 1) -> DataFrame:
+def _asking(client: ChatProvider, model: str, temperature: float, first_wait: float, most: int = 1500) -> Callable[[list[dict]], str]:
+    """Calls of the service that are repeated while they fail in a way that may pass."""
+    return lambda messages: retried(lambda: client.chat_completion(messages, model, temperature, most), first_wait=first_wait).strip()
+
+
+def generate(rows: DataFrame, key: str, prompt: str, factory: Callable[[], ChatProvider], *, model: str = "", temperature: float = 0.2, max_fixes: int = 1, first_wait: float = 10.0) -> DataFrame:
     """(key, statement, rewrites, error): one generated statement per prompt, rewritten up to `max_fixes` times while it fails the rules."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = factory()
+        ask = _asking(factory(), model, temperature, first_wait)
         for pdf in batches:
             out = []
             for k, p in zip(pdf["k"], pdf["p"], strict=True):
                 try:
-                    text, rewrites = client.chat_completion([{"role": "user", "content": p}], model, temperature).strip(), 0
+                    text, rewrites = ask([{"role": "user", "content": p}]), 0
                     ok, issue = _passes(text)
                     while not ok and rewrites < max_fixes:
-                        ask = [{"role": "user", "content": p}, {"role": "assistant", "content": text}, {"role": "user", "content": issue}]
-                        text, rewrites = client.chat_completion(ask, model, temperature).strip(), rewrites + 1
+                        talk = [{"role": "user", "content": p}, {"role": "assistant", "content": text}, {"role": "user", "content": issue}]
+                        text, rewrites = ask(talk), rewrites + 1
                         ok, issue = _passes(text)
                     out.append((k, text, rewrites, None))
                 except Exception as error:  # noqa: BLE001 - kept with the row
@@ -92,17 +97,22 @@ def generate(rows: DataFrame, key: str, prompt: str, factory: Callable[[], ChatP
     return rows.select(F.col(key).alias("k"), F.col(prompt).alias("p")).mapInPandas(work, f"k {kind}, statement string, rewrites int, error string").withColumnRenamed("k", key)
 
 
-def keywords(rows: DataFrame, key: str, statement: str, criteria: str, factory: Callable[[], ChatProvider], *, model: str = "", temperature: float = 0.1) -> DataFrame:
-    """(key, keywords): one call per statement."""
+def keywords(rows: DataFrame, key: str, statement: str, criteria: str, factory: Callable[[], ChatProvider], *, model: str = "", temperature: float = 0.1, first_wait: float = 10.0) -> DataFrame:
+    """(key, keywords, error): one call per statement; a call that fails gives no keywords and its error."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = factory()
+        ask = _asking(factory(), model, temperature, first_wait, 200)
         for pdf in batches:
-            asked = [f"Skill statement:\n{s}\n\nPerformance criteria:\n{c}" for s, c in zip(pdf["s"], pdf["c"], strict=True)]
-            yield pd.DataFrame({"k": pdf["k"], "keywords": [client.chat_completion([{"role": "user", "content": a}], model, temperature, 200).strip() for a in asked]})
+            out = []
+            for k, s, c in zip(pdf["k"], pdf["s"], pdf["c"], strict=True):
+                try:
+                    out.append((k, ask([{"role": "user", "content": f"Skill statement:\n{s}\n\nPerformance criteria:\n{c}"}]), None))
+                except Exception as error:  # noqa: BLE001 - kept with the row
+                    out.append((k, None, str(error)))
+            yield pd.DataFrame(out, columns=["k", "keywords", "error"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(F.col(key).alias("k"), F.col(statement).alias("s"), F.col(criteria).alias("c")).mapInPandas(work, f"k {kind}, keywords string").withColumnRenamed("k", key)
+    return rows.select(F.col(key).alias("k"), F.col(statement).alias("s"), F.col(criteria).alias("c")).mapInPandas(work, f"k {kind}, keywords string, error string").withColumnRenamed("k", key)
 
 
 def embed(rows: DataFrame, key: str, text: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 100) -> DataFrame:
