@@ -140,7 +140,7 @@ def complexity(text: Column) -> Column:
         total = reduce(lambda a, b: a + b, [c[f"n{w}"] for w in levels])
         weighted = reduce(lambda a, b: a + b, [c[f"n{w}"] * w for w in levels])
         score = weighted / F.nullif(total, F.lit(0)) + F.least(c["words"] / F.lit(20.0), F.lit(1.5))
-        return F.when(total == 0, 5.0).otherwise(F.round(F.least(F.greatest(score, F.lit(1.0)), F.lit(10.0)), 1))
+        return F.when(F.coalesce(total, F.lit(0)) <= 0, 5.0).otherwise(F.round(F.least(F.greatest(score, F.lit(1.0)), F.lit(10.0)), 1))
 
     return _once(_once(words(text), counted), scored)
 

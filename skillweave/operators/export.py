@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.functions import codes
+from skillweave.operators.numbering import numbered
 
 # Column names of the export formats (the trailing spaces belong to them).
 RSD_COLUMNS = ("RSD Name", "Unit Code", "Unit Title", "Element Title", "Skill Statement", "Keywords", "TP Code ", "TP Title ", "QA Pass")
@@ -31,9 +32,8 @@ def numbered_unit(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """`rows` with unit_number: CODE.n by `order` within the unit; blank codes count as UNIT."""
     code = F.trim(first_column(rows, "unit_code").cast("string"))
     plain = F.when(code.isNull() | code.isin("", "nan", "None"), "UNIT").otherwise(code)
-    numbered = rows.withColumn("_unit", plain)
-    n = F.row_number().over(Window.partitionBy("_unit").orderBy(*order))
-    return numbered.withColumn("unit_number", F.concat_ws(".", "_unit", n.cast("string"))).drop("_unit")
+    found = numbered(rows.withColumn("_unit", plain), F.col("_unit"), order, "_number")
+    return found.withColumn("unit_number", F.concat_ws(".", "_unit", F.col("_number").cast("string"))).drop("_unit", "_number")
 
 
 def rsd_rows(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -79,8 +79,7 @@ def unit_records(units: DataFrame, statements: DataFrame, memberships: DataFrame
     that no task holds an unbounded unit.
     """
     st = statements.where(F.col("skill_statement").isNotNull()).select(F.col("unit_code").alias("uoc_code"), "row_index", "id", "element_title", "skill_statement", "keywords", "qa_passes")
-    n = F.row_number().over(Window.partitionBy("uoc_code").orderBy(F.col("row_index").asc_nulls_last(), "id"))
-    st = st.withColumn("n", n).withColumn("part", F.floor((F.col("n") - 1) / PART_ROWS).cast("int") + 1)
+    st = numbered(st, F.col("uoc_code"), [F.col("row_index").asc_nulls_last(), F.col("id")], "n").withColumn("part", F.floor((F.col("n") - 1) / PART_ROWS).cast("int") + 1)
     entry = F.struct(
         "n", codes.element_id(F.col("uoc_code"), F.col("n")).alias("element_id"), "element_title", F.col("skill_statement").alias("statement"),
         F.filter(F.transform(F.split("keywords", ";"), lambda k: F.trim(k)), lambda k: k != "").alias("keywords"),

@@ -103,8 +103,11 @@ def level_labels(spark, d):
 
 
 def criterion_in_title(spark, d):
-    """Titles that hold a criterion number."""
-    return table(spark, d, "rsd_skill_records").where(F.col("element_title").rlike(r"\b\d+\.\d+\b")).select("id", "element_title")
+    """Records of which a title, or a line of the criteria, holds a criterion number, with the lines that do."""
+    number = r"\b\d+\.\d+\b"
+    lines = F.size(F.filter(F.split(F.coalesce("pcs_text", F.lit("")), "\n"), lambda x: x.rlike(number)))
+    rows = table(spark, d, "rsd_skill_records").select("id", F.coalesce(F.col("element_title").rlike(number), F.lit(False)).alias("in_title"), lines.alias("n_lines"))
+    return rows.where("in_title or n_lines > 0")
 
 
 def run_records(spark, d):
@@ -191,7 +194,8 @@ SELECT row_id, section, count(*) n_units, min(trim(c)) first_code, max(trim(c))
   || chr(10) || chr(10) || 'Write one skill statement for this element.' t FROM rsd_skill_records) SELECT id, md5(t) digest, length(t)::INT n_chars FROM p""",
     "code_functions": f"""SELECT anzsco_code, CASE substr(anzsco_code, 1, 1) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in codes.MAJOR_GROUPS.items())} ELSE '' END major_group, '{codes.OCCUPATION_URI}' || replace(replace(anzsco_code, ' ', ''), '-', '') uri, sha256(anzsco_code) digest FROM anzsco_codes""",
     "level_labels": f"SELECT DISTINCT aqf_level AS level, {_LEVEL(list(codes.LEVEL_LABELS))} AS label, {_LEVEL(sorted(codes.LEVEL_LABELS, key=lambda n: -len(n)))} longest_label FROM qual_registry",
-    "criterion_in_title": "SELECT id, element_title FROM rsd_skill_records WHERE regexp_matches(element_title, '\\b\\d+\\.\\d+\\b')",
+    "criterion_in_title": """WITH x AS (SELECT id, coalesce(regexp_matches(element_title, '\\b\\d+\\.\\d+\\b'), false) in_title,
+  len(list_filter(string_split(coalesce(pcs_text, ''), chr(10)), lambda l: regexp_matches(l, '\\b\\d+\\.\\d+\\b')))::INT n_lines FROM rsd_skill_records) SELECT * FROM x WHERE in_title OR n_lines > 0""",
     "run_records": "SELECT run_id, row_index, id, unit_code FROM rsd_skill_records WHERE run_id = (SELECT run_id FROM rsd_skill_records GROUP BY 1 ORDER BY count(*) DESC, run_id LIMIT 1)",
     "next_index": "SELECT run_id, coalesce(max(row_index), -1) + 1 next_index FROM rsd_skill_records GROUP BY 1",
     "content_fingerprint": f"""WITH m AS (SELECT md5({_FP}) h FROM uoc_registry)

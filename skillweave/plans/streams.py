@@ -20,9 +20,9 @@ def streamed_latest(spark, d, files=100):
     """The last event of every user, by merging the stream of events into a table; in whatever batches events come."""
     stream, schema = _events(spark, d, files)
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:8]}"
-    held = streaming.VersionedTable(spark, f"{at}/table", schema)
+    held = streaming.VersionedTable(spark, f"{at}/table", schema, ["user_id"])
     policy = {c: "overwrite" for c in schema.fieldNames() if c != "user_id"}
-    streaming.merge_stream(stream, held, ["user_id"], policy, f"{at}/checkpoint", lambda: [F.col("ts"), F.col("event_id")], newer=["ts", "event_id"]).awaitTermination()
+    streaming.merge_stream(stream, held, policy, f"{at}/checkpoint", lambda: [F.col("ts"), F.col("event_id")], newer=["ts", "event_id"]).awaitTermination()
     return held.read().select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 

@@ -21,51 +21,88 @@ def read_new_files(spark: SparkSession, folder: str, schema: str | StructType, k
 
 
 class VersionedTable:
-    """A Parquet table of immutable versions with a pointer to the current one: readers never see half a merge."""
+    """A Parquet table of immutable files; a numbered pointer names those of each version, and the highest one is current.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    A version exists once its pointer has been renamed into place, which is one step: a failure before leaves the version
+    before current, and readers never see half a merge. Rows lie in `buckets` by the hash of `keys`; a merge rewrites the
+    buckets that its rows fall into, the others go on as they are. Files that neither the current version nor the one
+    before names are deleted, so a reader has one more batch's time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, keys: Sequence[str] = (), buckets: int = 16):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path.rstrip("/"), schema, list(keys), buckets if keys else 1
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> tuple[str | None, int]:
-        """(folder, last batch) of the current version."""
+    def _names(self, prefix: str) -> list[str]:
         _, at, fs = self._fs()
-        if not fs.exists(at):
-            return None, -1
-        row = self.spark.read.text(f"{self.path}/current").head()
-        folder, batch = row[0].split("\t")
-        return folder, int(batch)
+        return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().startswith(prefix)) if fs.exists(at) else []
+
+    def _manifest(self, pointer: str) -> dict[str, str]:
+        """Folder of each bucket in a version; '' stands for a table that isn't in buckets."""
+        lines = [r[0] for r in self.spark.read.text(f"{self.path}/{pointer}").collect()]
+        return dict(reversed(line.split("\t")) for line in lines if line)
+
+    def current(self) -> tuple[dict[str, str], int]:
+        """(folders by bucket, last batch) of the current version."""
+        pointers = self._names("pointer-")
+        return (self._manifest(pointers[-1]), int(pointers[-1].split("-")[1])) if pointers else ({}, -1)
+
+    def _rows(self, folders: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        folder, _ = self.current()
-        return self.spark.read.schema(self.schema).parquet(folder) if folder else self.spark.createDataFrame([], self.schema)
+        return self._rows(sorted(self.current()[0].values()))
 
-    def replace(self, rows: DataFrame, batch: int) -> None:
-        folder = f"{self.path}/v-{batch}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(folder)
-        jvm, at, fs = self._fs()
+    def _commit(self, manifest: Mapping[str, str], batch: int) -> None:
+        jvm, _, fs = self._fs()
         staged = jvm.org.apache.hadoop.fs.Path(f"{self.path}/next-{uuid.uuid4().hex[:8]}")
         out = fs.create(staged, True)
-        out.write(bytearray(f"{folder}\t{batch}".encode()))
+        out.write(bytearray("\n".join(f"{folder}\t{bucket}" for bucket, folder in sorted(manifest.items())).encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(staged, at)
+        if not fs.rename(staged, jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointer-{batch:020d}")):
+            raise OSError(f"batch {batch} of {self.path} was committed already")
+        self._tidy()
 
+    def _tidy(self) -> None:
+        jvm, _, fs = self._fs()
+        pointers = self._names("pointer-")
+        used = {folder.removeprefix(f"{self.path}/").split("/")[0] for p in pointers[-2:] for folder in self._manifest(p).values()}
+        for name in [*pointers[:-2], *(v for v in self._names("v-") if v not in used)]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
-def merge_stream(stream: DataFrame, table: VersionedTable, keys: Sequence[str], policy: Mapping[str, str], checkpoint: str, arrival: Callable[[], Sequence[Column]] | None = None, newer: Sequence[str] | None = None) -> StreamingQuery:
+    def replace(self, rows: DataFrame, batch: int) -> None:
+        """The whole table anew."""
+        folder = f"{self.path}/v-{batch}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(folder)
+        self._commit({"": folder}, batch)
+
+    def merge(self, rows: DataFrame, batch: int, policy: Mapping[str, str], arrival: Sequence[Column] | None = None, newer: Sequence[str] | None = None) -> None:
+        """`rows` upserted by the table's keys; null matches null."""
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        folders = self.current()[0]
+        touched = sorted(str(r.b) for r in rows.select(bucket.alias("b")).distinct().collect())  # as many as there are buckets
+        if not touched:
+            self._commit(folders, batch)
+            return
+        merged = upsert(self._rows([folders[b] for b in touched if b in folders]), rows, self.keys, policy, arrival, newer)
+        folder = f"{self.path}/v-{batch}-{uuid.uuid4().hex[:8]}"
+        merged.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(folder)
+        self._commit(folders | {b: f"{folder}/bucket={b}" for b in touched}, batch)
+
+
+def merge_stream(stream: DataFrame, table: VersionedTable, policy: Mapping[str, str], checkpoint: str, arrival: Callable[[], Sequence[Column]] | None = None, newer: Sequence[str] | None = None) -> StreamingQuery:
     """Every batch is upserted once: a batch that is delivered again after a failure is recognised by its number.
 
     `arrival` orders the rows of one batch; with `newer` a row of a later batch only counts if it comes later by these columns too.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if number <= table.current()[1]:
-            return
-        table.replace(upsert(table.read(), batch, keys, policy, arrival() if arrival else None, newer), number)
+        if number > table.current()[1]:
+            table.merge(batch, number, policy, arrival() if arrival else None, newer)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from skillweave import streaming
 from skillweave.plans import streams
 
@@ -19,9 +21,9 @@ def run(stream, name, checkpoint):
 
 def test_merge_stream_resumes(spark, tmp_path):
     folder = tmp_path / "in"
-    table = streaming.VersionedTable(spark, str(tmp_path / "table"), SCHEMA)
+    table = streaming.VersionedTable(spark, str(tmp_path / "table"), SCHEMA, ["k"])
     write(spark, folder, [("a", "1", 1, 0), ("b", "1", 5, 0)], "one")
-    go = lambda: streaming.merge_stream(streaming.read_new_files(spark, str(folder), SCHEMA), table, ["k"], {"v": "overwrite", "n": "greatest"}, str(tmp_path / "cp")).awaitTermination()
+    go = lambda: streaming.merge_stream(streaming.read_new_files(spark, str(folder), SCHEMA), table, {"v": "overwrite", "n": "greatest"}, str(tmp_path / "cp")).awaitTermination()
     go()
     write(spark, folder, [("b", "2", 3, 1), ("c", "1", 1, 1)], "two")
     go()
@@ -30,6 +32,41 @@ def test_merge_stream_resumes(spark, tmp_path):
     assert table.current()[1] == 1
 
 
+def test_failure_between_write_and_pointer_loses_nothing(spark, tmp_path, monkeypatch):
+    table = streaming.VersionedTable(spark, str(tmp_path / "table"), SCHEMA, ["k"], buckets=4)
+    rows = lambda *r: spark.createDataFrame([(k, v, n, T0) for k, v, n in r], SCHEMA)
+    held = lambda: {(r.k, r.v) for r in table.read().collect()}
+    table.merge(rows(*((f"k{i}", "1", 1) for i in range(20))), 0, {"v": "overwrite"})
+    before = held()
+    commit = streaming.VersionedTable._commit
+
+    def fails(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(streaming.VersionedTable, "_commit", fails)
+    with pytest.raises(OSError, match="lost"):
+        table.merge(rows(("k1", "2", 1)), 1, {"v": "overwrite"})
+    assert held() == before and table.current()[1] == 0
+    monkeypatch.setattr(streaming.VersionedTable, "_commit", commit)
+    table.merge(rows(("k1", "2", 1)), 1, {"v": "overwrite"})
+    assert held() == before - {("k1", "1")} | {("k1", "2")}
+    with pytest.raises(OSError, match="already"):
+        table._commit(table.current()[0], 1)
+
+
+def test_merges_rewrite_the_buckets_they_touch(spark, tmp_path):
+    table = streaming.VersionedTable(spark, str(tmp_path / "table"), SCHEMA, ["k"], buckets=4)
+    rows = lambda *r: spark.createDataFrame([(k, v, n, T0) for k, v, n in r], SCHEMA)
+    table.merge(rows(*((f"k{i}", "1", 1) for i in range(20))), 0, {"v": "overwrite"})
+    first = table.current()[0]
+    for batch in (1, 2, 3):
+        table.merge(rows(("k1", str(batch), 1)), batch, {"v": "overwrite"})
+    assert sum(first[b] != f for b, f in table.current()[0].items()) == 1
+    assert table.read().count() == 20 and len(table._names("pointer-")) == 2 and len(table._names("v-")) == 3
+    table.merge(rows(), 4, {"v": "overwrite"})
+    assert table.read().count() == 20 and table.current()[1] == 4
+
+
 def test_changed_content(spark, tmp_path):
     folder = tmp_path / "in"
     for i, v in enumerate(["x", "x", "y", "x"]):
