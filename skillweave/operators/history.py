@@ -28,7 +28,7 @@ from skillweave.session import materialise
 STEP, SPARE = 8, 1
 _NULL = "\x00"
 #: Most (period, leaf) rows that are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def state_text(*columns: Column) -> Column:
@@ -73,16 +73,20 @@ def changed_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     for above, depth in zip([0, *depths], depths, strict=False):
         level = leaves
         if alive is not None:  # only what lies below a differing node
-            alive = materialise(alive.withColumnRenamed("node", "parent"), "branches")
-            level = level.withColumn("parent", F.shiftright("node", bits - above)).join(small(alive, alive.count()), ["period", "parent"], "left_semi")
+            parents = alive.select("period", F.col("node").alias("parent"))
+            level = level.withColumn("parent", F.shiftright("node", bits - above)).join(small(parents, parents.count()), ["period", "parent"], "left_semi")
         if depth < bits:
             level = _digests(level.withColumn("node", F.shiftright("node", bits - depth)), "period", "node")
         # A node has at most a row for each delivery. Where its parent is left out the node is that of the delivery before.
         before = Window.partitionBy("node").orderBy("period")
         same = F.col("d").eqNullSafe(F.lag("d").over(before)) & F.col("e").eqNullSafe(F.lag("e").over(before))
-        alive = level.withColumn("same", same).where("not same").select("period", "node")
+        compared = materialise(level.select("period", "node", same.alias("same")), "branches")
+        alive = compared.where("not same")
+        if depth < bits and 2 * alive.count() > compared.count():
+            alive = None  # most branches differ: all are descended, which finds the same leaves
+    alive = alive.select("period", "node")
     named = lambda x: x.select("period", F.col("node").alias("leaf"))
-    return materialise(named(alive), "changed"), named(leaves), bits
+    return named(alive), named(leaves), bits
 
 
 def in_changed_buckets(rows: DataFrame, changed: DataFrame, every: DataFrame) -> DataFrame:
