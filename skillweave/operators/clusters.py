@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,25 +111,19 @@ def project(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     return model.transform(data).select(key, F.posexplode(vector_to_array("p")).alias("dim", "x"))
 
 
-def singular_values(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """(dim, value): the largest singular values of the matrix of unit vectors, from its Gram matrix.
+def _spectrum(vectors: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and -vectors, largest first, of the Gram matrix of the unit vectors.
 
-    The Gram matrix has a row per dimension of the vectors, however many vectors there are.
+    It has a row per dimension of the vectors, however many vectors there are.
     """
-    import numpy as np
-
     parts = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
     size = parts.select(F.max(F.size("v"))).head()[0] or 0
 
     def gram(batches):
-        import pandas as pd
-
         total = np.zeros((size, size))
         for pdf in batches:
             if len(pdf):
-                m = np.stack(pdf["v"].to_numpy())
-                norm = np.linalg.norm(m, axis=1, keepdims=True)
-                m = m / np.where(norm == 0, 1, norm)
+                m = _unit(pdf["v"])
                 total += m.T @ m
         i, j = np.nonzero(total)
         yield pd.DataFrame({"i": i, "j": j, "x": total[i, j]})
@@ -136,10 +132,42 @@ def singular_values(vectors: DataFrame, key: str, vector: str, dims: int) -> Dat
     g = np.zeros((size, size))
     for r in summed:
         g[r.i, r.j] = r.x
-    values = np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1][:dims], 0)) if size else []
+    values, directions = np.linalg.eigh(g)
+    return values[::-1], directions[:, ::-1]
+
+
+def _unit(column: pd.Series) -> np.ndarray:
+    m = np.stack(column.to_numpy()).astype(np.float64)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1, norm)
+
+
+def singular_values(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+    """(dim, value): the largest singular values of the matrix of unit vectors, from its Gram matrix."""
+    values = np.sqrt(np.maximum(_spectrum(vectors, vector)[0][:dims], 0))
     return vectors.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "dim int, value double")
 
 
+def reduced(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+    """(key, reduced): unit vectors on their first `dims` singular directions, brought to unit length again.
+
+    Directions have no sign of their own; each is turned so that its largest component is positive. Null vectors are left out.
+    """
+    directions = _spectrum(vectors, vector)[1][:, :dims]
+    if directions.size:
+        directions = directions * np.sign(directions[np.abs(directions).argmax(axis=0), np.arange(directions.shape[1])])
+    shared = vectors.sparkSession.sparkContext.broadcast(directions)
+    kind = dict(vectors.dtypes)[key]
+
+    def turn(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"k": pdf["k"], "reduced": list(_unit(pd.Series(list(_unit(pdf["v"]) @ shared.value))))})
+
+    held = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    return held.mapInPandas(turn, f"k {kind}, reduced array<double>").withColumnRenamed("k", key)
+
+
 def cluster_names(weights: DataFrame, key: str, labels: DataFrame, cluster: str, top: int = 3) -> DataFrame:
     """(cluster, name): the terms of highest mean weight of each cluster."""
     held = weights.join(labels, key)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skillweave.plans import analytics, links, problems, skills, streams
+from skillweave.plans import analytics, browse, cascade, compare, documents, links, problems, skills, streams
 
-_MODULES = (problems, skills, links, analytics, streams)
+_MODULES = (problems, skills, links, analytics, streams, cascade, compare, browse, documents)
 
 
 def queries() -> dict:

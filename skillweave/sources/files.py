@@ -5,8 +5,9 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,40 @@ def parse_xlsx(data: bytes) -> list[dict[int, str]]:
         return rows
 
 
+def _letters(n: int) -> str:
+    """Name of a column by its number from 0."""
+    name = ""
+    n += 1
+    while n:
+        n, rest = divmod(n - 1, 26)
+        name = chr(65 + rest) + name
+    return name
+
+
+def workbook(header: Sequence[str], rows: Sequence[Sequence]) -> bytes:
+    """A workbook with one sheet of texts; null cells are left out."""
+    def line(k: int, values: Sequence) -> str:
+        cells = (f'<c r="{_letters(i)}{k}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for i, v in enumerate(values) if v is not None)
+        return f'<row r="{k}">{"".join(cells)}</row>'
+
+    kind, main = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    body = "".join(line(k, values) for k, values in enumerate([header, *rows], 1))
+    parts = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+        '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{kind}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{kind}"><sheets><sheet name="rows" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{kind}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, content in parts.items():
+            book.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + content)
+    return out.getvalue()
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """First sheets of the workbooks at `path` as text columns, named by the first row of the first workbook.
 

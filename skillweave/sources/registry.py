@@ -12,30 +12,32 @@ SCHEMA = "page int, code string, title string, kind string"
 
 
 class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+    def __init__(self, number: int, items: list | None = None):
+        self.number, self.items = number, items
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.options = options
 
-    def _client(self):
-        """The client named by option `client` ('module:function'), else the JSON file named by option `path`."""
+    def partitions(self):
+        """A partition per page. Pages of a JSON file (option `path`) are read here, where the query is planned, and go with it."""
+        numbers = range(1, int(self.options.get("pages", 1)) + 1)
         if "client" in self.options:
-            module, name = self.options["client"].split(":")
-            return getattr(importlib.import_module(module), name)
+            return [_Page(n) for n in numbers]
         with open(self.options["path"]) as file:
             items = json.load(file)
         size = int(self.options.get("page_size", 500))
-        return lambda page: items[(page - 1) * size : page * size]
-
-    def partitions(self):
-        return [_Page(n) for n in range(1, int(self.options.get("pages", 1)) + 1)]
+        return [_Page(n, items[(n - 1) * size : n * size]) for n in numbers]
 
     def read(self, partition):
+        """Items of the page, asked of the client that option `client` names ('module:function') where it isn't held."""
+        items = partition.items
+        if items is None:
+            module, name = self.options["client"].split(":")
+            items = getattr(importlib.import_module(module), name)(partition.number)
         wanted = [p for p in self.options.get("prefixes", "").split(",") if p]
-        for item in self._client()(partition.number) or ():
+        for item in items or ():
             code = item.get("code") or item.get("Code") or ""
             if code and (not wanted or any(code.startswith(p) for p in wanted)):
                 yield partition.number, code, item.get("title") or item.get("Title") or "", item.get("type") or item.get("Type") or ""

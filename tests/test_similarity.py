@@ -129,3 +129,29 @@ def test_kmeans_keeps_the_best_of_ten_starts(vectors, monkeypatch):
     monkeypatch.setattr(KMeans, "fit", lambda self, data: costs.append(fit(self, data)) or costs[-1])
     clusters.kmeans(vectors[0], "id", "v", 3)
     assert len({m.getSeed() for m in costs}) == 10
+
+
+def test_reduced_vectors(spark):
+    """Cosines of reduced vectors are those of numpy's truncated decomposition."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(60, 12)) @ np.diag(np.linspace(3, 0.1, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(99, None)], "k int, v array<double>").repartition(3)
+    found = {r.k: np.array(r.reduced) for r in clusters.reduced(df, "k", "v", 3).collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    u, s, _ = np.linalg.svd(unit, full_matrices=False)
+    low = u[:, :3] * s[:3]
+    low /= np.linalg.norm(low, axis=1, keepdims=True)
+    assert sorted(found) == list(range(60)) and np.allclose(np.stack([found[i] for i in range(60)]) @ found[7], low @ low[7])
+
+
+def test_crowded_cells_and_ties(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = np.repeat(rng.normal(size=(30, 6)), 3, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "k int, v array<double>").repartition(4)
+    whole = sorted((r.a, r.b, round(r.sim, 9)) for r in similarity.vector_pairs(df, "k", "v", 0.5).collect())
+    monkeypatch.setattr(similarity, "ROWS_A_TASK", 7)
+    monkeypatch.setattr(similarity, "QUERIES_AT_ONCE", 4)
+    assert whole == sorted((r.a, r.b, round(r.sim, 9)) for r in similarity.vector_pairs(df, "k", "v", 0.5).collect())
+    found = {(r.k, r.rank): r.neighbour for r in similarity.nearest(df, "k", "v", df, 2).collect()}
+    assert all({found[3 * g + j, 1], found[3 * g + j, 2]} == {3 * g, 3 * g + 1, 3 * g + 2} - {3 * g + j} for g in range(30) for j in range(3))
+    assert all(found[3 * g + 2, 1] == 3 * g for g in range(30))
