@@ -68,20 +68,31 @@ def grams(word: str) -> list[str]:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edits (with swaps of neighbours) from a to b, or most + 1."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
+    """Edits (with swaps of neighbours) from a to b, or most + 1; only cells within `most` of the diagonal are filled."""
+    n, far = len(b), most + 1
+    if abs(len(a) - n) > most:
+        return far
+    before, row = [far] * (n + 1), [j if j <= most else far for j in range(n + 1)]
     for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if older and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+        older, before, row = before, row, [far] * (n + 1)
+        if i <= most:
+            row[0] = i
+        least = row[0]
+        for j in range(max(1, i - most), min(n, i + most) + 1):
+            y = b[j - 1]
+            d = before[j - 1] + (x != y)
+            if before[j] < d:
+                d = before[j] + 1
+            if row[j - 1] < d:
+                d = row[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and older[j - 2] + 1 < d:
+                d = older[j - 2] + 1
+            row[j] = d
+            if d < least:
+                least = d
+        if least > most:
+            return far
+    return min(row[n], far)
 
 
 def shortened(short: str, word: str) -> bool:
@@ -158,9 +169,13 @@ class Reference:
             elif word.endswith("s") and word[:-1] in self.vocabulary:
                 found[word[:-1]] = 1.0
             elif not word.isdigit():
-                for w in sorted(set().union(*(self.near.get(p, ()) for p in self.pairs(word)))):
+                own = self.pairs(word)
+                shared = Counter(w for p in own for w in self.near.get(p, ()))
+                for w, n in sorted(shared.items()):
                     most = 2 if len(w) >= 5 else 1 if len(w) >= 4 else 0
-                    d = min(distance(word, w, most), distance(word, w + "s", most)) if most else 9
+                    # An edit touches three of the pairs at most, a plural two.
+                    close = most and n >= len(own) - 3 * most - 2 and -most <= len(word) - len(w) <= most + 1
+                    d = min(distance(word, w, most), distance(word, w + "s", most)) if close else 9
                     if d <= most:
                         found[w] = 1 - 0.1 * d
                     elif shortened(word, w):
