@@ -126,17 +126,32 @@ def content_fingerprint(spark, d):
     return upsert.fingerprint(table(spark, d, "uoc_registry").select("uoc_code", "uoc_title", "tp_code"))
 
 
+def _records(spark, d, all_links):
+    found = export.unit_records(table(spark, d, "uoc_registry"), table(spark, d, "rsd_skill_records"), table(spark, d, "uoc_qual_memberships"), table(spark, d, "uoc_occupation_links"), all_links)
+    at = lambda path: F.get_json_object("record", path)
+    size = lambda path: F.coalesce(F.json_array_length(at(path)), F.lit(0))
+    return found.select(
+        "uoc_code", "part", at("$.uoc_title").alias("uoc_title"), size("$.skill_statements").alias("n_statements"), size("$.qualification_memberships").alias("n_memberships"), size("$.occupation_links").alias("n_links"),
+        at("$.primary_occupation.anzsco_code").alias("anzsco_code"), at("$.primary_occupation.uri").alias("uri"), at("$.skill_statements[0].element_id").alias("first_element"),
+        at("$.import_status.owner_tp_code").alias("owner"), at("$.import_status.imported_only").alias("imported_only"), at("$.skill_statements[0].evidence.hash").alias("first_hash"),
+    )
+
+
 def unit_records(spark, d):
-    """Nested record of every unit: its JSON's digest and size by part."""
-    found = export.unit_records(table(spark, d, "uoc_registry"), table(spark, d, "rsd_skill_records"), table(spark, d, "uoc_qual_memberships"), table(spark, d, "uoc_occupation_links"))
-    return found.select("uoc_code", "part", F.length("record").alias("n_chars"), F.md5("record").alias("digest"), F.get_json_object("record", "$.primary_occupation.anzsco_code").alias("anzsco_code"))
+    """Nested record of every unit: what it holds, by part."""
+    return _records(spark, d, False)
+
+
+def unit_records_all_links(spark, d):
+    """The same with every open link instead of the primary ones."""
+    return _records(spark, d, True)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         qa_check, qa_issues, qa_agreement, skill_classes, blob_parse, row_per_criterion, section_carry, unit_numbering, rsd_rows, osmt_rows, traceability, prompts,
-        code_functions, level_labels, criterion_in_title, run_records, next_index, content_fingerprint, unit_records,
+        code_functions, level_labels, criterion_in_title, run_records, next_index, content_fingerprint, unit_records, unit_records_all_links,
     )
 }
 
@@ -166,7 +181,23 @@ c AS (SELECT id, unit_code, tp_code, element_title, skill_statement, coalesce(li
 _LEVEL = lambda names: "CASE WHEN coalesce(aqf_level, '') = '' THEN 'Unspecified' " + " ".join(f"WHEN contains(lower(aqf_level), '{n.lower()}') THEN '{codes.LEVEL_LABELS[n]}'" for n in names) + " ELSE aqf_level END"
 _FP = "concat_ws(chr(31), coalesce(uoc_code, chr(0)), coalesce(uoc_title, chr(0)), coalesce(tp_code, chr(0)))"
 
+_RECORDS = """
+WITH s AS (SELECT unit_code uoc_code, skill_statement, row_number() OVER (PARTITION BY unit_code ORDER BY row_index NULLS LAST, id) n FROM rsd_skill_records WHERE skill_statement IS NOT NULL),
+p AS (SELECT uoc_code, ((n - 1) // 5000 + 1)::INT part, count(*)::INT n_statements, min(n) n1, arg_min(skill_statement, n) first FROM s GROUP BY 1, 2),
+m0 AS (SELECT DISTINCT uoc_code, qual_code, membership_type, elective_group, is_imported, owner_tp_code FROM uoc_qual_memberships WHERE uoc_code IS NOT NULL),
+m AS (SELECT uoc_code, count(*)::INT n_memberships, bool_and(coalesce(is_imported, false)) only_imported FROM m0 GROUP BY 1),
+l0 AS (SELECT DISTINCT uoc_code, coalesce(is_primary, false) is_primary, confidence, anzsco_code, anzsco_title, mapping_source, source_qual_code, industry_sector FROM uoc_occupation_links WHERE valid_to IS NULL),
+l AS (SELECT uoc_code, count(*) FILTER ({links})::INT n_links FROM l0 GROUP BY 1),
+b AS (SELECT uoc_code, anzsco_code FROM l0 QUALIFY row_number() OVER (PARTITION BY uoc_code ORDER BY is_primary DESC, confidence DESC NULLS LAST, anzsco_code DESC NULLS LAST) = 1)
+SELECT u.uoc_code, coalesce(part, 1) part, uoc_title, coalesce(n_statements, 0) n_statements, coalesce(n_memberships, 0) n_memberships, coalesce(n_links, 0) n_links, b.anzsco_code,
+  CASE WHEN b.uoc_code IS NULL THEN NULL WHEN coalesce(b.anzsco_code, '') = '' THEN '' ELSE '{uri}' || regexp_replace(b.anzsco_code, '[ -]', '', 'g') END uri, CASE WHEN n1 IS NOT NULL THEN u.uoc_code || '-E' || CASE WHEN n1 < 10 THEN '0' ELSE '' END || n1 END first_element,
+  coalesce(nullif(trim(tp_code), ''), substr(u.uoc_code, 1, 3)) "owner", coalesce(only_imported, false)::VARCHAR imported_only, CASE WHEN n1 IS NOT NULL THEN 'sha256:' || sha256(first) END first_hash
+FROM uoc_registry u LEFT JOIN p USING (uoc_code) LEFT JOIN m USING (uoc_code) LEFT JOIN l USING (uoc_code) LEFT JOIN b USING (uoc_code)
+"""
+
 ORACLE = {
+    "unit_records": _RECORDS.format(links="is_primary", uri=codes.OCCUPATION_URI),
+    "unit_records_all_links": _RECORDS.format(links="true", uri=codes.OCCUPATION_URI),
     "qa_check": _QA + "SELECT id, one_sentence, word_count, has_method, has_outcome, passes FROM p",
     "qa_issues": _QA + """SELECT id, issues FROM (SELECT id, concat_ws(' ', CASE WHEN NOT one_sentence THEN 'The statement must be exactly one sentence.' END,
       CASE WHEN word_count < 30 THEN 'Too short (' || word_count || ' words). Aim for 30–60 words.' END, CASE WHEN word_count > 60 THEN 'Too long (' || word_count || ' words). Shorten to 30–60 words.' END,
