@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.functions import text as tx
-from skillweave.operators import export, ingest
+from skillweave.operators import export, ingest, upsert
 from skillweave.operators.upsert import first_by
+from skillweave.plans.links import _DERIVED
 from skillweave.plans.tables import table
 from skillweave.session import shared_folder
 from skillweave.sources import files, pages, registry, services
@@ -138,6 +139,17 @@ def workbook_rows(spark, d):
     return rows.mapInPandas(through, ", ".join(f"{n} string" for n in names)).withColumn("row_id", F.col("row_id").cast("bigint"))
 
 
+def sheet_loaded(spark, d):
+    """The load of the sheet in one chain: columns checked, deliveries put together, links derived and titles filled in."""
+    wide = table(spark, d, "tga_qualifications_updated")
+    files.require(wide, "qualification_code", "taxonomy_occupation")
+    early, late = wide.where("coalesce(anzsco_identifier, '') = ''").drop("anzsco_identifier"), wide.where("coalesce(anzsco_identifier, '') <> ''")
+    links = ingest.sheet_links(files.combined(early, late))
+    titles = table(spark, d, "uoc_registry").groupBy("uoc_code").agg(F.max("uoc_title").alias("uoc_title"))
+    filled = upsert.backfill(links.select("uoc_code", "source_qual_code", "anzsco_code", "confidence", "is_primary").withColumn("title", F.lit("")), titles, ("uoc_code", "uoc_code"), {"title": "uoc_title"})
+    return filled.groupBy("source_qual_code").agg(F.count("*").alias("n_links"), F.count_if(F.coalesce("title", F.lit("")) != "").alias("n_titled"), F.count_if("is_primary").alias("n_primary"), F.max("anzsco_code").alias("anzsco_code"))
+
+
 class Repeater:
     """A service without a network: it gives the first line of what it is asked about, in capitals, or fails on request."""
 
@@ -177,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_taxonomy, page_units, response_taxonomy, unit_detail_rows, organisation_rows, search_summaries, detail_qualifications, detail_memberships, registry_pages,
-        csv_round_trip, jsonl_round_trip, workbook_rows, generated_statements, generated_keywords, fetched_codes,
+        csv_round_trip, jsonl_round_trip, workbook_rows, generated_statements, generated_keywords, fetched_codes, sheet_loaded,
     )
 }
 
@@ -206,5 +218,9 @@ ORACLE = {
     "workbook_rows": "SELECT row_id, nullif(qualification_code, '') qualification_code, nullif(qualification_title, '') qualification_title, nullif(anzsco_identifier, '') anzsco_identifier FROM tga_qualifications_updated",
     "generated_statements": "SELECT id, CASE WHEN starts_with(element_title, 'Clean') THEN 'ERROR: not today' ELSE trim(upper(element_title)) END statement, 0 rewrites, CASE WHEN starts_with(element_title, 'Clean') THEN 'not today' END error FROM rsd_skill_records WHERE element_title <> ''",
     "generated_keywords": "SELECT id, CASE WHEN NOT starts_with(element_title, 'Clean') THEN trim(upper(element_title)) END keywords, CASE WHEN starts_with(element_title, 'Clean') THEN 'not today' END error FROM rsd_skill_records WHERE element_title <> ''",
+    "sheet_loaded": _DERIVED.replace("SELECT qualification_code qual_code", "SELECT row_id, anzsco_identifier a, qualification_code qual_code").replace("SELECT qualification_code,", "SELECT row_id, anzsco_identifier, qualification_code,").replace("qual_code, kind FROM x WHERE", "qual_code, kind, row_id, a FROM x WHERE") + """,
+  o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY uoc_code, qual_code, kind ORDER BY row_id DESC) = 1), q AS (SELECT *, (kind = 'core') = bool_or(kind = 'core') OVER (PARTITION BY uoc_code) is_primary FROM o),
+  t AS (SELECT uoc_code, max(uoc_title) title FROM uoc_registry GROUP BY 1)
+  SELECT qual_code source_qual_code, count(*) n_links, count(*) FILTER (coalesce(title, '') <> '') n_titled, count(*) FILTER (is_primary) n_primary, max(CASE WHEN coalesce(trim(a), '') IN ('', 'N/A', 'nan') THEN '' ELSE trim(a) END) anzsco_code FROM q LEFT JOIN t USING (uoc_code) GROUP BY 1""",
     "fetched_codes": "SELECT DISTINCT uoc_code, CASE WHEN NOT ends_with(uoc_code, '9') THEN '<code>' || uoc_code || '</code>' END payload FROM uoc_registry WHERE uoc_code NOT IN (SELECT trim(unit_code) FROM rsd_skill_records WHERE unit_code IS NOT NULL)",
 }

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -127,6 +128,19 @@ def ensure_columns(rows: DataFrame, spec: Mapping[str, tuple[str, object]]) -> D
     return rows.withColumns(missing) if missing else rows
 
 
+def require(rows: DataFrame, *names: str) -> DataFrame:
+    """`rows`, if it has the named columns; else a ValueError that names those that it lacks."""
+    missing = [n for n in names if n not in rows.columns]
+    if missing:
+        raise ValueError(f"the table lacks the columns {', '.join(missing)}")
+    return rows
+
+
+def combined(*batches: DataFrame) -> DataFrame:
+    """Rows of several deliveries; columns that one lacks are null in its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
+
+
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key an earlier run hasn't done."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
