@@ -155,3 +155,18 @@ def test_crowded_cells_and_ties(spark, monkeypatch):
     found = {(r.k, r.rank): r.neighbour for r in similarity.nearest(df, "k", "v", df, 2).collect()}
     assert all({found[3 * g + j, 1], found[3 * g + j, 2]} == {3 * g, 3 * g + 1, 3 * g + 2} - {3 * g + j} for g in range(30) for j in range(3))
     assert all(found[3 * g + 2, 1] == 3 * g for g in range(30))
+
+
+def test_pairs_in_tiles(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, w, 1.0) for i in range(120) for w in rng.sample("abcdefghij", 5)]
+    raw = spark.createDataFrame(rows, "id long, term string, weight double").withColumn("weight", F.lit(1 / 5**0.5))
+    vectors = {}
+    for i, w, _ in rows:
+        vectors.setdefault(i, set()).add(w)
+    expected = sorted((i, j) for i in vectors for j in vectors if i < j and len(vectors[i] & vectors[j]) >= 4)
+    for size, terms in ((1_500, 2_000), (10, 3)):
+        monkeypatch.setattr(similarity, "TEXTS_A_TASK", size)
+        monkeypatch.setattr(similarity, "TERMS_AT_ONCE", terms)
+        assert sorted((r.a, r.b) for r in similarity.cosine_pairs(raw, "id", 0.79).collect()) == expected
+    assert similarity.cosine_pairs(raw.limit(0), "id", 0.79).collect() == []
