@@ -141,7 +141,7 @@ def statement_duplicates(spark, d):
 
 def statement_clusters(spark, d):
     """Density clusters of distinct statements over the pairs of cosine 0.85 or more."""
-    pairs = similar_statements(spark, d)
+    pairs = materialise(similar_statements(spark, d), "pairs")  # read more than once
     rows = table(spark, d, "rsd_skill_records").where(tx.has_text(_s())).groupBy("skill_statement").agg(F.min("id").alias("id")).select("id")
     found = clusters.density_clusters(rows, "id", pairs.select("a", "b"))
     return found.where("cluster >= 0")
