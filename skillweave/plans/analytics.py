@@ -167,16 +167,9 @@ def statement_members(spark, d):
 def task_matches(spark, d):
     """For every statement the up to three unit titles of cosine 0.25 or more."""
     titles = table(spark, d, "uoc_registry").where(tx.has_text(F.col("uoc_title"))).select("uoc_code", "uoc_title")
-    fitted = similarity.term_weights(titles, "uoc_code", F.col("uoc_title"))
     rows = table(spark, d, "rsd_skill_records").where(tx.has_text(_s())).select("id", "skill_statement")
-    tf = rows.select("id", F.explode(tx.content_terms(_s())).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    # Weights by the idf of the titles; words that no title has are dropped before the norm.
-    df = titles.select("uoc_code", F.explode(F.array_distinct(tx.content_terms(F.col("uoc_title")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = titles.agg(F.count("*").alias("n"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    raw = tf.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    weighed = raw.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))).select("id", "term", "weight")
-    return similarity.best_matches(weighed, "id", fitted, "uoc_code", 0.25, 3).select("id", "uoc_code", F.round("sim", 5).alias("sim"), "rank")
+    found = similarity.best_texts(rows, "id", _s(), titles, "uoc_code", F.col("uoc_title"), 0.25, 3)
+    return found.select("id", "uoc_code", F.round("sim", 5).alias("sim"), "rank")
 
 
 def _occupation_base(spark: SparkSession, d: str) -> DataFrame:

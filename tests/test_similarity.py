@@ -1,6 +1,9 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +68,98 @@ def test_cosine_pairs_of_terms(spark):
     assert len(best) == len(rows)
 
 
+def _best(texts, targets, t, n):
+    """Brute force: (key, target, rank) by word lists."""
+    df = Counter(w for ws in targets.values() for w in set(ws))
+    idf = {w: math.log((1 + len(targets)) / (1 + k)) + 1 for w, k in df.items()}
+
+    def unit(ws):
+        raw = {w: k * idf[w] for w, k in Counter(ws).items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / norm for w, x in raw.items()}
+
+    held, found = {k: unit(ws) for k, ws in targets.items()}, set()
+    for key, ws in texts.items():
+        mine = unit(ws)
+        sims = sorted((-round(s, 9), k) for k, v in held.items() if (s := sum(x * v.get(w, 0) for w, x in mine.items())) >= t)
+        found |= {(key, k, i + 1) for i, (_, k) in enumerate(sims[:n])}
+    return found
+
+
+def _texts(seed):
+    """Short, long, repeated, empty and unknown texts over few words of unequal frequency."""
+    r = random.Random(seed)
+    words = [f"word{k}" for k in range(40)]
+    some = lambda lo, hi, own=(): r.choices([*words, *own], weights=[1 / (i + 2) for i in range(40)] + [0.05] * len(own), k=r.randrange(lo, hi))
+    targets = {f"T{i:03}": some(1, 7) for i in range(150)} | {f"U{i}": some(18, 60) for i in range(6)} | {f"A{i}": ["word3", "word9", "word4"] for i in range(9)}
+    texts = {i: some(1, 14, ["unknown"]) for i in range(120)} | {200 + i: some(60, 90) for i in range(5)} | {300: ["unknown"], 301: [], 302: ["word4", "word3", "word9"], 303: ["word9", "word4", "word3"]}
+    return texts, targets
+
+
+@pytest.mark.parametrize("short, long, pairs", [(16, 32, 500_000), (4, 6, 7), (0, 0, 40)])
+def test_targets_by_shared_words(monkeypatch, short, long, pairs):
+    """Lists by one, two and three words, cut where nothing better can follow, find what brute force finds."""
+    monkeypatch.setattr(similarity, "SHORT", short)
+    monkeypatch.setattr(similarity, "LONG", long)
+    monkeypatch.setattr(similarity, "PAIRS_AT_ONCE", pairs)
+    for seed in range(3):
+        texts, targets = _texts(seed)
+        known = sorted({w for ws in targets.values() for w in ws})
+        number = {w: i for i, w in enumerate(known)}
+        df = Counter(w for ws in targets.values() for w in set(ws))
+        idf = np.array([math.log((1 + len(targets)) / (1 + df[w])) + 1 for w in known])
+        table = pa.table({"bag": pa.array([[number[w] for w in ws] for ws in targets.values()], pa.list_(pa.int64())), "k": [[k] for k in targets]})
+        held = similarity._targets(table, np.arange(len(known)), idf)
+        bags = {k: sorted(number[w] for w in ws if w in number) for k, ws in texts.items()}
+        for t, n in ((0.25, 3), (0.6, 1), (0.05, 200)):
+            found = set()
+            for key, bag in bags.items():
+                if bag:
+                    _, word, weight = similarity._unit_vectors(np.array(bag), np.zeros(len(bag), int), 1, idf)
+                    _, target, _ = held.best(word[None], weight[None], t, n)
+                    found |= {(key, held.names[int(held.ranks[held.of[j]])].as_py(), i + 1) for i, j in enumerate(target)}
+            assert found == _best(texts, targets, t, n)
+
+
+@pytest.mark.parametrize("terms, combinations", [(500_000, 4_000_000), (500_000, 500), (0, 1)])
+def test_best_texts(spark, monkeypatch, terms, combinations):
+    """One block, several blocks and the join on the terms; keys whose words stand in several rows; more equal targets than asked for."""
+    monkeypatch.setattr(similarity, "BROADCAST_TERMS", terms)
+    monkeypatch.setattr(similarity, "COMBINATIONS_AT_ONCE", combinations)
+    texts, targets = _texts(7)
+    rows = spark.createDataFrame([(k, " ".join(ws)) for k, ws in texts.items()] + [(5, "word1 word2"), (400, None)], "id long, s string")
+    texts[5] = [*texts[5], "word1", "word2"]
+    named = spark.createDataFrame([(k, " ".join(ws)) for k, ws in targets.items()], "code string, name string")
+    found = similarity.best_texts(rows, "id", F.col("s"), named, "code", F.col("name"), 0.25, 3)
+    assert found.columns == ["id", "code", "sim", "rank"] and dict(found.dtypes)["rank"] == "int"
+    held = [(r.id, r.code, r["rank"]) for r in found.collect()]
+    assert len(held) == len(set(held)) and set(held) == _best(texts, targets, 0.25, 3)
+    assert {k for i, k, _ in held if i == 302} == {"A0", "A1", "A2"}
+    assert similarity.best_texts(rows, "id", F.col("s"), named.limit(0), "code", F.col("name"), 0.25, 3).count() == 0
+
+
+def test_task_matches_shuffles_no_pairs(spark, tmp_path, request):
+    """Statements and titles that all share words meet in a million pairs, which are compared where they meet."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables are too large to send in practice
+    titles = [(f"U{i:04}", f"operate machine part{i % 100} tool{i // 100}") for i in range(500)]
+    rows = [(i, f"operate machine part{i % 100} with site{i} tool{i % 5}") for i in range(2000)]
+    spark.createDataFrame(titles, "uoc_code string, uoc_title string").write.parquet(str(tmp_path / "uoc_registry.parquet"))
+    spark.createDataFrame(rows, "id bigint, skill_statement string").write.parquet(str(tmp_path / "rsd_skill_records.parquet"))
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        held = context.statusStore().executorList(True)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before = shuffled()
+    found = {(r.id, r["rank"]): r.uoc_code for r in analytics.task_matches(spark, str(tmp_path)).collect()}
+    assert len(found) == 6000 and all(found[i, 1] == f"U{i % 100 + i % 5 * 100:04}" for i in range(2000))
+    assert shuffled() - before < 1_000_000
+
+
 def test_every_record_is_a_member(spark, tmp_path):
     """Copies of a text share its class and count; copies without a near text are a class of their own."""
     near = "grind polish repair inspect measure mount align balance lubricate wheel"
